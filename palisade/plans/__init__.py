@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["corpus_text"]
+MODULES = ["corpus_text", "evidence"]
 
 
 def load_all() -> None:
