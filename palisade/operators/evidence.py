@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from palisade.dims import requests as R
 from palisade.dims.lexicon import RULES, WEIGHTS
 from palisade.functions.text import normalize_words, whole_word
-from palisade.operators.scan import union_all
+from palisade.operators.scan import only, union_all
 
 # Negations that cancel a match they directly precede (texts hold single blanks only).
 OFF_PLATFORM_NEGATION = (
@@ -54,7 +54,7 @@ def match_rules(normalized: DataFrame, keep_negated: bool = False) -> DataFrame:
                 F.lit(cluster).alias("cluster"),
                 F.lit(weight).alias("weight"),
                 F.when(
-                    _active(lang) & _long_enough(),
+                    _active(lang) & _long_enough() & F.col("norm").rlike(p),
                     F.regexp_extract_all(
                         "norm", F.lit(f"(?:{p})" if keep_negated else guarded(cluster, p)), F.lit(0)
                     ),
@@ -73,8 +73,11 @@ def lexicon_flags() -> dict[str, Column]:
     """cluster -> whether any active rule matches; one alternation per cluster and language."""
     by_cluster: dict[str, list[Column]] = {}
     for cluster, lang, patterns in RULES:
-        joined = "|".join(guarded(cluster, p) for p in patterns)
-        by_cluster.setdefault(cluster, []).append(_active(lang) & F.col("norm").rlike(joined))
+        test = _active(lang) & F.col("norm").rlike("|".join(f"(?:{p})" for p in patterns))
+        if cluster in GUARDS:
+            # The guards look behind and are slow, so they run only where the plain patterns match.
+            test = test & F.col("norm").rlike("|".join(guarded(cluster, p) for p in patterns))
+        by_cluster.setdefault(cluster, []).append(test)
     out = {}
     for cluster, tests in by_cluster.items():
         any_hit = tests[0]
@@ -174,11 +177,18 @@ def restore_latin(t: Column) -> Column:
 
 
 def clauses(text: Column, lang: Column) -> Column:
-    raw = F.filter(F.split(text, r"[.!?;\n]+"), lambda x: F.length(x) > 0)
+    # The wrapping keeps the language a plain value inside the lambda; otherwise the optimizer may move the whole
+    # language profile into it and evaluate that per clause.
+    given = F.array(F.struct(F.split(text, r"[.!?;\n]+").alias("xs"), lang.alias("lang")))
     return F.transform(
-        raw,
-        lambda x, i: F.struct(i.alias("clause"), x.alias("raw"), restore_latin(normalize_words(x, lang)).alias("t")),
-    )
+        given,
+        lambda g: F.transform(
+            F.filter(g["xs"], lambda x: F.length(x) > 0),
+            lambda x, i: F.struct(
+                i.alias("clause"), x.alias("raw"), restore_latin(normalize_words(x, g["lang"])).alias("t")
+            ),
+        ),
+    )[0]
 
 
 def bind(prefix: Column) -> Column:
@@ -345,7 +355,7 @@ def keyword_requests(normalized: DataFrame, keywords: DataFrame) -> DataFrame:
     hits = runs.join(wanted, "run").select(
         "conv_id", "turn", "clause", "keyword", bind(F.array_join(F.slice("parts", F.lit(1), F.col("i") + 1), "")).alias("b")
     )
-    return hits.filter("b.ok").select("conv_id", "turn", "clause", "keyword", F.col("b.action").alias("action"))
+    return only(hits, F.col("b.ok")).select("conv_id", "turn", "clause", "keyword", F.col("b.action").alias("action"))
 
 
 # ---- everything together ------------------------------------------------------------------------------------------

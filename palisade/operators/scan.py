@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 TURNS_PER_BUCKET = 4096
 
 
+def only(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition over derived columns.
+
+    A plain filter would be pushed below the projections that derive them, copying their expressions into it; an
+    emptied generator stays where it is.
+    """
+    return df.withColumn("_keep", F.explode(F.when(condition, F.array(F.lit(1))))).drop("_keep")
+
+
 def turn_bucket(width: int = TURNS_PER_BUCKET) -> Column:
     return F.floor(F.col("turn") / width)
 

@@ -44,9 +44,10 @@ def with_context(messages: DataFrame, payload: list[str], direction: str = "inbo
     return held.unionByName(others.select(*held.columns)).withColumn("ctx", fresh).drop("_seq")
 
 
-def decayed_weights(ctx: Column = F.col("ctx"), now: Column = F.col("ts_ms")) -> dict[str, Column]:
+def decayed_weights() -> dict[str, Column]:
     """cluster -> strongest decayed weight over the inbound context (0 when absent)."""
-    aged = F.transform(ctx, lambda x: F.struct(recency(now - x["ts_ms"]).alias("r"), x["clusters"].alias("c")))
+    now = F.col("ts_ms")
+    aged = F.transform("ctx", lambda x: F.struct(recency(now - x["ts_ms"]).alias("r"), x["clusters"].alias("c")))
     return {
         c: F.coalesce(
             F.array_max(F.transform(F.filter(aged, lambda x: F.array_contains(x["c"], c)), lambda x: x["r"])), F.lit(0.0)
@@ -98,44 +99,40 @@ def candidates(current: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def _pick(cands: Column, intent: str) -> Column:
-    return F.filter(cands, lambda c: c["intent"] == intent)[0]
-
+def with_rule_verdict(df: DataFrame, current: str, raw: str) -> DataFrame:
+    """Add cands, top (best by rank) and best (after the three tie-breaking rules, one after the other).
 
-def apply_overrides(cands: Column, best: Column, current: Column, raw: Column) -> Column:
-    """The three tie-breaking rules, applied one after the other."""
+    Each rule is a column of its own: nesting them would multiply the expression.
+    """
     has = lambda c: F.array_contains(current, c)
-
-    def step(best: Column, when: Column, target: str) -> Column:
-        return F.when(when, F.coalesce(_pick(cands, target), best)).otherwise(best)
-
-    first = step(
-        best,
-        (best["intent"] == "ESCROW_DELIVERY_SCAM") & has("off_platform_action") & ~has("transaction_redirect")
-        & ~has("payment_claim") & ~has("payment_credential_request") & ~F.lower(raw).rlike(I.PAYOUT_WORDS),
-        "OFF_PLATFORM_REDIRECT",
+    ranked = df.withColumn("cands", candidates(F.col(current))).withColumn("top", F.array_max("cands"))
+    ranked = ranked.withColumns(
+        {
+            "_leave": has("off_platform_action") & ~has("transaction_redirect") & ~has("payment_claim")
+            & ~has("payment_credential_request") & ~F.lower(raw).rlike(I.PAYOUT_WORDS),
+            "_papers": has("identity_probing") & ~has("payment_credential_request") & ~has("password_theft"),
+            "_money": has("payment_credential_request") | (has("bank_login_request") & has("action_link")),
+            "_purpose": F.when(has("verification_purpose") & ~has("payment_purpose"), "VERIFICATION_PHISHING").otherwise(
+                "PAYMENT_CREDENTIAL_THEFT"
+            ),
+            **{f"_has_{i}": F.array_contains(F.transform("cands", lambda c: c["intent"]), i)
+               for i in ("OFF_PLATFORM_REDIRECT", "IDENTITY_PROBING", "VERIFICATION_PHISHING", "PAYMENT_CREDENTIAL_THEFT")},
+        }
     )
-    second = step(
-        first,
-        (first["intent"] == "VERIFICATION_PHISHING") & has("identity_probing")
-        & ~has("payment_credential_request") & ~has("password_theft"),
-        "IDENTITY_PROBING",
-    )
-    money = second["intent"].isin(I.FINANCIAL) & (
-        has("payment_credential_request") | (has("bank_login_request") & has("action_link"))
-    )
-    verifying = has("verification_purpose") & ~has("payment_purpose")
-    third = step(second, money & verifying, "VERIFICATION_PHISHING")
-    return step(third, money & ~verifying, "PAYMENT_CREDENTIAL_THEFT")
 
+    def rule(source: str, when: Column, target: str) -> Column:
+        return F.when(when & F.col(f"_has_{target}"), F.lit(target)).otherwise(F.col(source))
 
-def with_rule_verdict(df: DataFrame, current: str, raw: str) -> DataFrame:
-    """Add cands, top (best by rank) and best (after the overrides)."""
-    return (
-        df.withColumn("cands", candidates(F.col(current)))
-        .withColumn("top", F.array_max("cands"))
-        .withColumn("best", apply_overrides(F.col("cands"), F.col("top"), F.col(current), F.col(raw)))
+    named = ranked.withColumn("_b0", F.col("top.intent"))
+    named = named.withColumn("_b1", rule("_b0", (F.col("_b0") == "ESCROW_DELIVERY_SCAM") & F.col("_leave"), "OFF_PLATFORM_REDIRECT"))
+    named = named.withColumn("_b2", rule("_b1", (F.col("_b1") == "VERIFICATION_PHISHING") & F.col("_papers"), "IDENTITY_PROBING"))
+    money = F.col("_b2").isin(I.FINANCIAL) & F.col("_money")
+    possible = F.when(F.col("_purpose") == "VERIFICATION_PHISHING", F.col("_has_VERIFICATION_PHISHING")).otherwise(
+        F.col("_has_PAYMENT_CREDENTIAL_THEFT")
     )
+    named = named.withColumn("_b3", F.when(money & possible, F.col("_purpose")).otherwise(F.col("_b2")))
+    out = named.withColumn("best", F.get(F.filter("cands", lambda c: c["intent"] == F.col("_b3")), F.lit(0)))
+    return out.drop(*[c for c in out.columns if c.startswith(("_b", "_has_")) or c in ("_leave", "_papers", "_money", "_purpose")])
 
 
 def confidence(best: Column) -> Column:

@@ -46,7 +46,9 @@ def compose(final: str) -> str:
     visit(final)
     if not needed:
         return final
-    head = ",\n".join(f"{n} AS ({CTES[n]})" for n in needed)
+    bodies = [CTES[n] for n in needed] + [final]
+    uses = {n: sum(len(re.findall(rf"\b{n}\b", b)) for b in bodies) for n in needed}
+    head = ",\n".join(f"{n} AS {'MATERIALIZED ' if uses[n] > 1 else ''}({CTES[n]})" for n in needed)
     body = final.strip()
     for opener, keyword in (("WITH RECURSIVE ", "WITH RECURSIVE"), ("WITH ", "WITH")):
         if body.upper().startswith(opener):

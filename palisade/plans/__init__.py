@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["corpus_text", "evidence"]
+MODULES = ["corpus_text", "evidence", "sessions"]
 
 
 def load_all() -> None:

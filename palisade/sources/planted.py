@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.dims.phrases import CYCLE, EPOCH_MS, GAPS_MS, PHRASES
-from palisade.sources.tables import table
+from palisade.sources.tables import spread, table
 
 
 def phrase_bank(spark: SparkSession) -> DataFrame:
@@ -17,7 +17,7 @@ def phrase_bank(spark: SparkSession) -> DataFrame:
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """conv_id, turn, ts_ms, direction, text, truth_type, truth_assessment; one row per spoken turn."""
-    conv = table(spark, folder, "conversations").filter(F.col("role").isin("user", "assistant"))
+    conv = spread(table(spark, folder, "conversations"), "conv_id", "turn").filter(F.col("role").isin("user", "assistant"))
     gap = F.element_at(F.array(*[F.lit(g) for g in GAPS_MS]), (F.col("conv_id") % 4 + 1).cast("int"))
     base = conv.select(
         "conv_id",
@@ -99,4 +99,4 @@ def watchlist(spark: SparkSession, folder: str) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     sql = DOCUMENTS_SQL.replace("{documents}", "{d}").replace("{items}", "{w}")
-    return spark.sql(sql, d=table(spark, folder, "documents"), w=watchlist(spark, folder))
+    return spark.sql(sql, d=spread(table(spark, folder, "documents"), "doc_id"), w=watchlist(spark, folder))

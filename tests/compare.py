@@ -37,8 +37,10 @@ def canonical(columns, rows):
 
 
 def compare(spark, con, job, sql, folder):
+    start = time.time()
     df = job(spark, folder)
     mine = canonical(df.columns, [tuple(r) for r in df.collect()])
+    compare.spark_sec = time.time() - start
     if sql is None:
         return True, len(mine[1]), None
     res = con.execute(sql)
@@ -51,6 +53,9 @@ def compare(spark, con, job, sql, folder):
     return False, len(mine[1]), f"rows {len(mine[1])} vs {len(theirs[1])}; spark only {list(a - b)[:2]}; sql only {list(b - a)[:2]}"
 
 
+compare.spark_sec = 0.0
+
+
 def main(argv):
     from palisade.session import ensure_checkpoint_dir, local_session
     import __spark_entry__ as entry
@@ -70,7 +75,7 @@ def main(argv):
             ok, n, why = False, -1, f"{type(e).__name__}: {str(e)[:1500]}"
         bad += not ok
         kind = "sql" if key in sqls else "rows"
-        print(f"{'ok ' if ok else 'BAD'} {key:32s} {kind:5s} {n:8d} rows {time.time() - start:6.1f}s {why or ''}"[:2500], flush=True)
+        print(f"{'ok ' if ok else 'BAD'} {key:32s} {kind:5s} {n:8d} rows {compare.spark_sec:6.1f}s spark {time.time() - start:6.1f}s {why or ''}"[:2500], flush=True)
     print("failed:", bad)
 
 
