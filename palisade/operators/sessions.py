@@ -136,7 +136,7 @@ def with_rule_verdict(df: DataFrame, current: str, raw: str) -> DataFrame:
 
 
 def confidence(best: Column) -> Column:
-    return F.least(best["score"], F.lit(100.0))
+    return F.when(best.isNotNull(), F.least(best["score"], F.lit(100.0)))
 
 
 def policy_action(detected: Column, intent: Column) -> Column:

@@ -7,21 +7,22 @@ from palisade.oracle.text import norm_words
 cte("q_rules", values(E.rule_rows(), "rule_id, cluster, lang, weight, pattern"))
 cte("q_weights", values(list(WEIGHTS.items()), "cluster, weight"))
 
-# Negated occurrences are cut out of the text before matching.
-_off = f"regexp_replace(norm, '(' || {lit(E.OFF_PLATFORM_NEGATION)} || ')(?:' || pattern || ')', '\\1', 'g')"
-_mil = f"regexp_replace(norm, '(' || {lit(E.SABOTAGE_NEGATION)} || ')(?:' || pattern || ')', '\\1', 'g')"
-_mil = _mil.replace("(norm,", f"(regexp_replace(norm, '(' || {lit(E.HARD_NEGATION)} || ')(?:' || pattern || ')', '\\1', 'g'),", 1)
-_JOIN = """q_norm JOIN q_rules ON (lang = 'universal' OR list_contains(string_split(languages, ','), lang)) AND length(trim(text)) >= 4"""
-cte(
-    "q_matches",
-    f"""SELECT conv_id, turn, rule_id, cluster, weight, trim(unnest(regexp_extract_all(
-  CASE cluster WHEN 'off_platform_action' THEN {_off} WHEN 'military_sabotage' THEN {_mil} ELSE norm END, pattern))) AS span FROM {_JOIN}""",
-)
-cte(
-    "q_raw_matches",
-    f"""SELECT conv_id, turn, rule_id, cluster, weight, trim(unnest(regexp_extract_all(norm, pattern))) AS span FROM {_JOIN}
-  AND cluster IN ('off_platform_action', 'military_sabotage')""",
-)
+# One branch per rule keeps the patterns constant. Negated occurrences are cut out of the text before matching.
+def _branch(rule, raw: bool) -> str:
+    rule_id, cluster, lang, weight, pattern = rule
+    x = "norm"
+    if not raw:
+        for guard in E.GUARDS.get(cluster, []):
+            x = f"regexp_replace({x}, {lit('(' + guard + ')(?:' + pattern + ')')}, '\\1', 'g')"
+    active = "" if lang == "universal" else f" AND list_contains(string_split(languages, ','), '{lang}')"
+    return (
+        f"SELECT conv_id, turn, {rule_id} AS rule_id, '{cluster}' AS cluster, {weight} AS weight, "
+        f"trim(unnest(regexp_extract_all({x}, {lit(pattern)}))) AS span FROM q_norm WHERE length(trim(text)) >= 4{active}"
+    )
+
+
+cte("q_matches", "\nUNION ALL ".join(_branch(r, False) for r in E.rule_rows()))
+cte("q_raw_matches", "\nUNION ALL ".join(_branch(r, True) for r in E.rule_rows() if r[1] in E.GUARDS))
 
 
 def _allowed(action: str) -> str:

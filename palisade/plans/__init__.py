@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["corpus_text", "evidence", "sessions"]
+MODULES = ["corpus_text", "evidence", "sessions", "marts"]
 
 
 def load_all() -> None:

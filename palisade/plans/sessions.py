@@ -146,7 +146,7 @@ def dedup_lures(spark, folder):
 VISITS = """SELECT user_id, event_id, {ms} AS ts_ms, concat('https://', CASE event_type WHEN 'purchase' THEN 'shop' ELSE 'chat' END, '.example.com/',
   CASE WHEN value > 20 THEN 'c' ELSE 'k' END, '/', CAST(event_id % 3 AS {text}), CASE WHEN event_id % 5 = 0 THEN concat('?peer=', CAST(user_id % 2 AS {text})) ELSE '' END,
   CASE event_id % 7 WHEN 0 THEN '#' WHEN 1 THEN '#x1' ELSE '' END) AS url FROM {events}"""
-cte("q_visits", VISITS.format(ms="epoch_ms(ts)", text="VARCHAR", events="events"))
+cte("q_visits", VISITS.format(ms="(epoch_us(ts) // 1000)", text="VARCHAR", events="events"))
 
 
 def visits(spark, folder):
