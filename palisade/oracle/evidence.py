@@ -143,7 +143,7 @@ cte(
     f"""SELECT conv_id, turn, clause, keyword, parts, unnest(range(1, len(parts))) AS i,
   replace(array_to_string(parts[1:i], ''), chr(2), '') AS prefix FROM (SELECT *, string_split(
     trim(replace(regexp_replace(' ' || replace(t, ' ', '  ') || ' ', '([^\\p{{L}}\\p{{N}}])(' || replace(kw, ' ', '\\s+') || ')([^\\p{{L}}\\p{{N}}])', '\\1' || chr(1) || '\\2\\3', 'g'), '  ', ' ')), chr(1)) AS parts
-  FROM q_clauses, (SELECT keyword, {norm_words('keyword', None)} AS kw FROM q_keywords))""",
+  FROM q_clauses, (SELECT keyword, {norm_words('keyword', None)} AS kw FROM q_keywords) WHERE contains(t, split_part(kw, ' ', 1)))""",
 )
 cte(
     "q_keyword_requests",

@@ -21,8 +21,16 @@ def norm_continuous(x: str) -> str:
     return f"translate({y}, {lit(L.LOOKALIKE_FROM)}, {lit(L.LOOKALIKE_TO)})"
 
 
+# Pairs of one letter, so that only texts which hold one are taken apart.
+_PAIRS = "|".join(
+    ("\\" if chr(i) in "\\.+*?()|[]{}^$" else "") + chr(i) + ("\\" if chr(i) in "\\.+*?()|[]{}^$" else "") + chr(i)
+    for r in (range(0x20, 0x7F), range(0xA1, 0x180), range(0x400, 0x500), range(0x2010, 0x2030))
+    for i in r
+)
+
+
 def collapse(x: str) -> str:
-    return f"array_to_string(list_transform(list_filter(list_zip(string_split({x}, ''), [''] || string_split({x}, '')[:-2]), lambda p: p[1] <> p[2]), lambda p: p[1]), '')"
+    return f"CASE WHEN NOT regexp_matches({x}, {lit(_PAIRS)}) THEN {x} ELSE array_to_string(list_transform(list_filter(list_zip(string_split({x}, ''), [''] || string_split({x}, '')[:-2]), lambda p: p[1] <> p[2]), lambda p: p[1]), '') END"
 
 
 def fold(x: str) -> str:

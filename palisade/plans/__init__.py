@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["corpus_text", "evidence", "sessions", "marts"]
+MODULES = ["corpus_text", "evidence", "sessions", "marts", "assets", "pages"]
 
 
 def load_all() -> None:
