@@ -118,10 +118,15 @@ def context_texts(ctx_rows: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def similarities(ctx_rows: DataFrame, messages: DataFrame) -> DataFrame:
-    """Similarity of the latest message and of the whole context, the larger per kind. ctx_rows carry raw."""
+    """Similarity of the latest message and of the whole context, the larger per kind.
+
+    ctx_rows: conv_id, turn, ctx, latest_turn, long_enough.
+    """
     keys = ["conv_id", "turn"]
     both = prototype_similarity(context_texts(ctx_rows, messages), keys)
-    latest = prototype_similarity(ctx_rows.filter(F.length(F.trim("raw")) >= 10).select(*keys, F.col("raw").alias("text")), keys)
+    refs = ctx_rows.filter("long_enough").select(*keys, F.col("latest_turn").alias("src"))
+    texts = messages.select("conv_id", F.col("turn").alias("src"), "text")
+    latest = prototype_similarity(refs.join(texts, ["conv_id", "src"]).select(*keys, "text"), keys)
     latest = latest.select(*keys, F.col("s_military").alias("l_m"), F.col("s_payment").alias("l_p"))
     z = F.lit(0.0)
     return both.join(latest, keys, "left").select(

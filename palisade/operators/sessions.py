@@ -99,17 +99,17 @@ def candidates(current: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def with_rule_verdict(df: DataFrame, current: str, raw: str) -> DataFrame:
+def with_rule_verdict(df: DataFrame, current: str, payout: str) -> DataFrame:
     """Add cands, top (best by rank) and best (after the three tie-breaking rules, one after the other).
 
-    Each rule is a column of its own: nesting them would multiply the expression.
+    payout tells whether the latest message speaks of receiving a payout. Each rule is a column of its own: nesting them would multiply the expression.
     """
     has = lambda c: F.array_contains(current, c)
     ranked = df.withColumn("cands", candidates(F.col(current))).withColumn("top", F.array_max("cands"))
     ranked = ranked.withColumns(
         {
             "_leave": has("off_platform_action") & ~has("transaction_redirect") & ~has("payment_claim")
-            & ~has("payment_credential_request") & ~F.lower(raw).rlike(I.PAYOUT_WORDS),
+            & ~has("payment_credential_request") & ~F.col(payout),
             "_papers": has("identity_probing") & ~has("payment_credential_request") & ~has("password_theft"),
             "_money": has("payment_credential_request") | (has("bank_login_request") & has("action_link")),
             "_purpose": F.when(has("verification_purpose") & ~has("payment_purpose"), "VERIFICATION_PHISHING").otherwise(
@@ -135,6 +135,10 @@ def with_rule_verdict(df: DataFrame, current: str, raw: str) -> DataFrame:
     return out.drop(*[c for c in out.columns if c.startswith(("_b", "_has_")) or c in ("_leave", "_papers", "_money", "_purpose")])
 
 
+def speaks_of_payout(text: Column) -> Column:
+    return F.lower(text).rlike(I.PAYOUT_WORDS)
+
+
 def confidence(best: Column) -> Column:
     return F.when(best.isNotNull(), F.least(best["score"], F.lit(100.0)))
 
@@ -157,7 +161,8 @@ def fallback_action(intent: Column, score: Column) -> Column:
 
 def score_single(flagged: DataFrame) -> DataFrame:
     """Stateless verdict of each message from its own clusters."""
-    scored = with_rule_verdict(with_weights(flagged, plain_weights(F.col("clusters"))), "clusters", "text")
+    facts = with_weights(flagged, plain_weights(F.col("clusters"))).withColumn("payout", speaks_of_payout(F.col("text")))
+    scored = with_rule_verdict(facts, "clusters", "payout")
     return scored.select(
         "conv_id",
         "turn",

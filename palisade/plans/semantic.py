@@ -8,7 +8,7 @@ from palisade.operators import sessions as S
 from palisade.operators.scan import only
 from palisade.oracle.sql import cte, lit, values
 from palisade.plans.registry import query
-from palisade.plans.sessions import flagged_messages
+from palisade.plans.sessions import contextual_features, message_features
 from palisade.sources.planted import messages
 from palisade.sources.tables import table
 
@@ -59,20 +59,13 @@ def ngram_vectors(spark, folder):
     )
 
 
-def semantic_context(spark, folder):
-    """Flagged messages with inbound context that carries clusters and semantic signals."""
-    words = [f"words_{g}" for g in D.GRADED]
-    f = M.with_signals(flagged_messages(spark, folder)).select(*KEYS, "ts_ms", "direction", "text", "clusters", "signals", *words)
-    c = S.with_context(f, ["text", "clusters", "signals", *words])
-    last = F.try_element_at("ctx", F.lit(-1))
-    return only(c, F.size("ctx") > 0).withColumn("cur", last["clusters"]).withColumn("raw", last["text"])
-
-
 @query("prototype_similarity", "SELECT conv_id, turn, round(s_military, 4) AS s_military, round(s_payment, 4) AS s_payment FROM q_sims")
 def prototype_similarity(spark, folder):
     m = messages(spark, folder)
-    c = S.with_context(m.select(*KEYS, "ts_ms", "direction", "text"), ["text"])
-    c = only(c, F.size("ctx") > 0).withColumn("raw", F.try_element_at("ctx", F.lit(-1))["text"]).select(*KEYS, "ctx", "raw")
+    narrow = m.select(*KEYS, "ts_ms", "direction", (F.length(F.trim("text")) >= 10).alias("long_enough"))
+    last = F.try_element_at("ctx", F.lit(-1))
+    c = only(S.with_context(narrow, ["long_enough"]), F.size("ctx") > 0)
+    c = c.withColumns({"latest_turn": last["turn"], "long_enough": last["long_enough"]})
     s = M.similarities(c, m)
     return s.select(*KEYS, F.round("s_military", 4).alias("s_military"), F.round("s_payment", 4).alias("s_payment"))
 
@@ -154,7 +147,7 @@ cte(
 
 @query("credential_evidence_flag", "SELECT conv_id, turn, evidence FROM q_evidence_flag")
 def credential_evidence_flag(spark, folder):
-    return semantic_context(spark, folder).select(*KEYS, M.credential_evidence(F.col("cur"), F.col("raw")).alias("evidence"))
+    return contextual_features(message_features(spark, folder)).select(*KEYS, "evidence")
 
 
 cte(
@@ -185,11 +178,11 @@ FROM (SELECT *, g_target OR g_sabotage OR courier OR g_recon OR g_ideology AS ph
 )
 
 
-def semantic_rows(spark, folder):
+def semantic_rows(spark, folder, features=None):
     """Rows that may form a semantic intent, with similarities, evidence and verdict."""
-    c = M.with_context_signals(semantic_context(spark, folder)).withColumn("evidence", M.credential_evidence(F.col("cur"), F.col("raw")))
-    cands = M.may_form(c)
-    sims = M.similarities(cands.select(*KEYS, "ctx", "raw"), messages(spark, folder))
+    features = message_features(spark, folder) if features is None else features
+    cands = M.may_form(M.with_context_signals(contextual_features(features)))
+    sims = M.similarities(cands.select(*KEYS, "ctx", "latest_turn", "long_enough"), messages(spark, folder))
     return M.semantic_verdicts(cands.join(sims, KEYS, "left"))
 
 
@@ -228,11 +221,11 @@ def spectrum_report(spark, folder):
 
 def conversation_verdicts(spark, folder):
     """Verdict at every turn: decayed rules first, then the semantic verdict, else none."""
-    c = semantic_context(spark, folder)
-    rules = S.with_rule_verdict(S.with_weights(c, S.decayed_weights()), "cur", "raw").select(
+    features = message_features(spark, folder)
+    rules = S.with_rule_verdict(S.with_weights(contextual_features(features), S.decayed_weights()), "cur", "payout").select(
         *KEYS, "direction", F.col("best.intent").alias("rule_intent"), S.confidence(F.col("best")).alias("rule_confidence")
     )
-    sem = semantic_rows(spark, folder).select(*KEYS, "sem_intent", "sem_confidence")
+    sem = semantic_rows(spark, folder, features).select(*KEYS, "sem_intent", "sem_confidence")
     j = rules.join(sem, KEYS, "left")
     return j.select(
         *KEYS, "direction", F.coalesce("rule_intent", "sem_intent").alias("intent"),

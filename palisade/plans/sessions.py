@@ -3,7 +3,9 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palisade.dims import semantics as D
 from palisade.operators import evidence as E
+from palisade.operators import semantic as M
 from palisade.operators import sessions as S
 from palisade.operators.scan import only
 from palisade.oracle import sessions as O
@@ -11,6 +13,7 @@ from palisade.oracle.sql import cte
 from palisade.plans.corpus_text import normalized
 from palisade.plans.evidence import framed_messages, keyword_table
 from palisade.plans.registry import query
+from palisade.session import ensure_checkpoint_dir
 from palisade.sources.planted import messages
 
 
@@ -20,18 +23,35 @@ def flagged_messages(spark, folder):
     return E.with_cluster_flags(framed, hits)
 
 
-def contextual_messages(spark, folder):
-    """Messages with inbound context; ctx entries carry text and clusters."""
-    keep = ["conv_id", "turn", "ts_ms", "direction", "text", "clusters"]
-    return S.with_context(flagged_messages(spark, folder).select(*keep), ["text", "clusters"])
+def message_features(spark, folder):
+    """What scoring needs of each message, without its text. The text is read and matched once; the narrow result is
+    checkpointed because several branches of the verdicts start from it."""
+    f = M.with_signals(flagged_messages(spark, folder))
+    words = [f"words_{g}" for g in D.GRADED]
+    narrow = f.select(
+        "conv_id", "turn", "ts_ms", "direction", "clusters", "signals", *words,
+        S.speaks_of_payout(F.col("text")).alias("payout"),
+        M.credential_evidence(F.col("clusters"), F.col("text")).alias("evidence"),
+        (F.length(F.trim("text")) >= 10).alias("long_enough"),
+    )
+    ensure_checkpoint_dir(spark)
+    return narrow.checkpoint()
 
 
-def rule_scored(spark, folder):
-    """Stateful rule candidates and verdict per message; cur and raw are those of the latest inbound message."""
-    c = contextual_messages(spark, folder)
+def contextual_features(features):
+    """Rows with inbound context; cur, payout, evidence, latest_turn and long_enough are those of the latest inbound."""
+    payload = ["clusters", "signals", *[f"words_{g}" for g in D.GRADED], "payout", "evidence", "long_enough"]
+    c = only(S.with_context(features, payload), F.size("ctx") > 0)
     last = F.try_element_at("ctx", F.lit(-1))
-    held = only(c, F.size("ctx") > 0).withColumn("cur", last["clusters"]).withColumn("raw", last["text"])
-    return S.with_rule_verdict(S.with_weights(held, S.decayed_weights()), "cur", "raw")
+    return c.withColumns(
+        {"cur": last["clusters"], "payout": last["payout"], "evidence": last["evidence"], "long_enough": last["long_enough"], "latest_turn": last["turn"]}
+    )
+
+
+def rule_scored(spark, folder):
+    """Stateful rule candidates and verdict per message."""
+    c = contextual_features(message_features(spark, folder))
+    return S.with_rule_verdict(S.with_weights(c, S.decayed_weights()), "cur", "payout")
 
 
 @query(
@@ -67,7 +87,7 @@ def recency_weight(spark, folder):
 
 @query("decayed_clusters", "SELECT conv_id, turn, cluster, round(weight, 6) AS weight FROM q_decayed")
 def decayed_clusters(spark, folder):
-    c = contextual_messages(spark, folder)
+    c = contextual_features(message_features(spark, folder))
     pairs = F.array(*[F.struct(F.lit(k).alias("cluster"), F.round(w, 6).alias("weight")) for k, w in S.decayed_weights().items()])
     return (
         c.select("conv_id", "turn", F.explode(F.filter(pairs, lambda p: p["weight"] > 0)).alias("p"))
