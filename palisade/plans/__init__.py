@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["corpus_text", "evidence", "sessions", "marts", "assets", "pages", "semantic"]
+MODULES = ["corpus_text", "evidence", "sessions", "marts", "assets", "pages", "semantic", "dataset"]
 
 
 def load_all() -> None:
