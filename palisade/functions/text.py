@@ -173,3 +173,14 @@ def host_of(url: Column) -> Column:
     x = F.regexp_replace(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://", "")
     x = F.regexp_extract(x, r"^(?:[^/?#@]*@)?([^/?#:]*)", 1)
     return F.regexp_replace(x, r"^www\.", "")
+
+
+def word_runs(words: Column, n: int) -> Column:
+    """All runs of n neighbouring words; elements are read by position, so long texts cost linear time."""
+    return F.when(
+        F.size(words) >= n,
+        F.transform(
+            F.sequence(F.lit(1), F.size(words) - (n - 1)),
+            lambda p: F.concat_ws(" ", *[F.element_at(words, p + k) for k in range(n)]),
+        ),
+    ).otherwise(F.array().cast("array<string>"))

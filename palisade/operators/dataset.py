@@ -54,7 +54,17 @@ def bounded_context(messages: DataFrame) -> DataFrame:
 # ---- near duplicates ----------------------------------------------------------------------------------------------
 
 def grams4(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 3)), lambda i: c.substr(i, F.lit(4))))
+    """Distinct character 4-grams; letters are read by position, so long texts cost linear time."""
+    given = F.array(F.struct(F.filter(F.split(c, ""), lambda x: x != "").alias("x")))
+    return F.transform(
+        given,
+        lambda g: F.array_distinct(
+            F.transform(
+                F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(g["x"]) - 3)),
+                lambda i: F.concat(*[F.element_at(g["x"], i + k) for k in range(4)]),
+            )
+        ),
+    )[0]
 
 
 def near_duplicate_pairs(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -67,7 +77,7 @@ def near_duplicate_pairs(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     reps = texts.groupBy("canon").agg(F.min("id").alias("rep"))
     star = texts.join(reps, "canon").filter(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    sets = reps.filter(F.length("canon") >= 4).select(F.col("rep").alias("id"), grams4(F.col("canon")).alias("g")).withColumn("n", F.size("g"))
+    sets = reps.filter(F.length("canon") >= 4).select(F.col("rep").alias("id"), grams4(F.col("canon")).alias("g")).withColumn("n", F.size("g")).checkpoint()
     long = sets.select("id", "n", F.explode("g").alias("gram"))
     freq = long.groupBy("gram").agg(F.count("*").alias("df"))
     # A gram of one text only can never be shared; it still counts for the position, so it stays in the order.
