@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["corpus_text", "evidence", "sessions", "marts", "assets", "pages", "semantic", "dataset", "privacy"]
+MODULES = ["corpus_text", "evidence", "sessions", "marts", "assets", "pages", "semantic", "dataset", "privacy", "streams"]
 
 
 def load_all() -> None:
