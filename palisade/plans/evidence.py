@@ -75,3 +75,24 @@ def watchlist_keyword_requests(spark, folder):
 @query("evidence_union", "SELECT * FROM q_evidence")
 def evidence_union(spark, folder):
     return E.evidence_rows(framed_messages(spark, folder), keyword_table(spark, folder))
+
+
+def signalled(spark, folder):
+    from palisade.operators import request_signals as Q
+
+    return messages(spark, folder).withColumn("signals", Q.signals(F.col("text")))
+
+
+@query("request_signals")
+def request_signals(spark, folder):
+    s = signalled(spark, folder).select("conv_id", "turn", F.posexplode("signals").alias("pos", "s"))
+    return s.select("conv_id", "turn", "pos", "s.action", "s.object", "s.stance", "s.destination", "s.purpose", "s.concealed", "s.complete")
+
+
+@query("context_gate")
+def context_gate(spark, folder):
+    """The gate against the planted truth as the candidate label of each message."""
+    from palisade.operators import request_signals as Q
+
+    g = Q.context_gate(signalled(spark, folder), F.coalesce("truth_type", F.lit("SAFE")))
+    return g.select("conv_id", "turn", F.coalesce("truth_type", F.lit("SAFE")).alias("candidate"), "reason")
