@@ -1,22 +1,65 @@
-"""Training-data pipeline over `documents`: each stage works on what the one before kept."""
+"""Training-data pipeline over `documents`: each stage works on all that the one before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it to the shared folder and rereads it for the next.
+Tables beside `docs` (labels, benchmark) come from sf_dir. All but the last stage return the columns of `docs`, which may hold
+nulls, empty or very long texts, repeated rows and further columns; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
 from palisade.llm.common import save, shared_dir
+from palisade.llm.decontaminate import contaminated
+from palisade.llm.mixing import mix
 from palisade.llm.ngram_join import jaccard_components
+from palisade.llm.pii import mask_pii
+from palisade.llm.toxicity import drop_toxic, toxicity_model
+from palisade.sources.tables import table
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id is not in `gone` (doc_id); rows without doc_id stay."""
+    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model trained on the labels outside the held-out fold calls toxic go."""
+    return drop_toxic(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; rows without doc_id stay."""
-    drop = jaccard_components(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(drop, docs.doc_id == drop.gone, "left_anti")
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return without(docs, jaccard_components(docs).filter("component_id <> doc_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, also with other numbers, names or units, go."""
+    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in `text` is masked; `n_chars` follows where the text changed."""
+    masked = mask_pii(docs.withColumn("_before", F.length("text")))
+    changed = F.length("text") != F.col("_before")
+    return masked.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).drop("_before")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn to the target weights; one row per epoch in which a document is taken."""
+    return mix(docs)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("pii", pii),
+    ("mixing_sources", mixing),
+]
 
-#: The toxicity stage is a trained model, which SQL can't express.
+#: The toxicity stage is a trained model, which SQL can't express; tests compare the run with a brute-force version.
 ORACLE_SQL = None
 
 
