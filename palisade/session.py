@@ -25,10 +25,21 @@ def local_session(cores: int | str = 8, app: str = "palisade") -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make a local one only where none is set (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir of the session, which is also set as checkpoint folder.
+
+    In local mode a temporary folder is made where none is set; on a cluster that is an error, as executors would not see it.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="palisade-ckpt-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="palisade-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    shared_folder(spark)
