@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -11,16 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.session import shared_folder
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir; a local one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="palisade-llm-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share (spark.checkpoint.dir)."""
+    return f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -100,14 +100,20 @@ def op7(spark, folder):
 
 
 WARC_SQL = """
-WITH p AS (SELECT page_id, url, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
-k AS (SELECT d, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d)
-SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to
-FROM p LEFT JOIN k USING (d)
+WITH p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[\\x00-\\x20\\x7F]', '%20', 'g') AS url, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+k AS (SELECT d, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d),
+r AS (SELECT *, lower(CASE WHEN instr(url, '://') > 0 AND substr(url, instr(url, '://') + 3) <> '' THEN substr(url, instr(url, '://') + 3) ELSE url END) AS rest FROM p),
+h AS (SELECT *, regexp_extract(rest, '^([^/?#]*)', 1) AS host FROM r),
+c AS (SELECT *, regexp_extract(substr(rest, length(host) + 1), '^([^#]*)', 1) AS path, CASE WHEN starts_with(host, 'www.') THEN substr(host, 5) ELSE host END AS name FROM h),
+i AS (SELECT *, array_to_string(list_reverse(string_split(name, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END AS url_key,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM c)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to,
+  url_key, captured, row_number() OVER (ORDER BY encode(url_key), captured, page_id) - 1 AS capture_no
+FROM i LEFT JOIN k USING (d)
 """
 
 
-@query("op8_warc_index")
+@query("op8_warc_index", WARC_SQL)
 def op8(spark, folder):
     return archive_round_trip(table(spark, folder, "pages"))
 

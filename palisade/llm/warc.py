@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palisade.llm.common import save, shared_dir
 
@@ -170,7 +171,7 @@ def _merge(batches):
 
 
 def merged_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(page_id, merge_range, merge_place): global order of captures (page_id, archive, url_key, captured) by URL key, time and page."""
+    """(page_id, capture_no): place from 0 of each capture (page_id, archive, url_key, captured) in the order by URL key, time and page."""
     place = F.struct("url_key", "captured", "page_id")
     rows = captures.filter("page_id is not null").select("archive", place.alias("c"))
     total = rows.count()
@@ -186,22 +187,24 @@ def merged_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame
         cuts = F.from_json(cut, "array<struct<url_key:string,captured:string,page_id:bigint>>")
         ranged = rows.withColumn("part", F.size(F.filter(cuts, lambda b: b <= F.col("c"))))
     runs = ranged.groupBy("part", "archive").agg(F.array_sort(F.collect_list("c")).alias("run"))  # a run is sorted piece by piece
-    return runs.groupBy("part").agg(F.collect_list("run").alias("runs")).mapInArrow(_merge, _MERGED)
+    merged = runs.groupBy("part").agg(F.collect_list("run").alias("runs")).mapInArrow(_merge, _MERGED)
+    counts = ranged.groupBy(F.col("part").alias("merge_range")).agg(F.count("*").alias("n"))  # one row per range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("merge_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return merged.join(counts.select("merge_range", before.alias("before")), "merge_range").select("page_id", (F.col("before") + F.col("merge_place")).alias("capture_no"))
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write `pages` (page_id, url, html) as archives, read them back, resolve revisits and add each capture's place in the merged index.
 
-    One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured, merge_range, merge_place. Null html
-    is an empty payload, null url a record without target. Rows that repeat a page_id are each written and answered. A null page_id is a
+    One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured, capture_no. Null html is an empty payload, null url a record without target. Rows that repeat a page_id are each written and answered. A null page_id is a
     response record named `none` and has no place in the index. Other columns are ignored. Empty table: no records, no rows.
     """
     folder = shared_dir(pages.sparkSession)
     read = save(read_archives(pages.sparkSession, write_archives(pages, folder)), folder, "records")
     sizes = read.filter("record_type = 'response' and page_id is not null").groupBy("page_id").agg(F.max("payload_bytes").alias("full_bytes"))
-    place = merged_index(read).groupBy("page_id").agg(F.min(F.struct("merge_range", "merge_place")).alias("place"))
+    place = merged_index(read).groupBy("page_id").agg(F.min("capture_no").alias("capture_no"))
     out = read.join(sizes.withColumnRenamed("page_id", "refers_to"), "refers_to", "left").join(place, "page_id", "left")
     return out.select(
         "page_id", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to",
-        "url_key", "captured", "place.merge_range", "place.merge_place",
+        "url_key", "captured", "capture_no",
     )
