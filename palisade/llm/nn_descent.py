@@ -48,7 +48,7 @@ def nearest(rows: DataFrame, key: str, n: int, *order: str) -> DataFrame:
 
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
 
 
 def _squares(m: np.ndarray, other: np.ndarray) -> np.ndarray:

@@ -25,6 +25,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
+_DIGIT = re.compile("[0-9]")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
@@ -35,7 +36,7 @@ _NUMBER = re.compile(r"(?<![A-Za-z0-9+.-])[0-9]{6,12}(?![0-9A-Za-z-])")
 SCORES = {
     "iban": (0.5, ("iban", "konto", "bank", "account", "cuenta", "compte"), ("example", "sample", "ref", "order")),
     "ssn": (0.5, ("ssn", "social", "security"), ("example", "sample", "isbn", "order", "part")),
-    "birth_date": (0.2, ("born", "birth", "birthday", "dob", "geboren", "geburtsdatum", "naissance", "nacimiento", "nacido"), ("published", "updated", "version", "copyright")),
+    "birth_date": (0.1, ("born", "birth", "birthday", "dob", "geboren", "geburtsdatum", "naissance", "nacimiento", "nacido"), ("published", "updated", "version", "copyright")),
     "id_number": (0.1, ("passport", "passeport", "reisepass", "pasaporte", "dni", "ausweis", "license", "licence"), ("page", "order", "version", "isbn")),
 }
 _WORD = re.compile(r"[^\W\d_]+")
@@ -76,7 +77,7 @@ def _valid_date(text: str) -> bool:
 def _score(kind: str, text: str, start: int, confirmed: bool) -> float:
     prior, near, far = SCORES[kind]
     words = {w.lower() for w in _WORD.findall(text, max(0, start - CONTEXT), start)}
-    return prior + 0.4 * confirmed + 0.3 * any(w in words for w in near) - 0.3 * any(w in words for w in far)
+    return prior + 0.4 * confirmed + 0.3 * any(w in words for w in near) - 0.4 * any(w in words for w in far)
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -89,12 +90,11 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
         for m in _PHONE.finditer(text):
             if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
                 found.append(("phone", m.start(), m.end(), 1.0))
-    numbers = list(_CARD.finditer(text))
-    if numbers:
+    if _DIGIT.search(text):
         for m in _IP.finditer(text):
             if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
                 found.append(("ip", m.start(), m.end(), 1.0))
-        for m in numbers:
+        for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
                 found.append(("card", m.start(), m.end(), 1.0))

@@ -344,7 +344,7 @@ def test_repeats_equal_brute_force(spark, hot, monkeypatch):
 def test_one_id_with_two_texts_stays_whole(spark):
     rows = [(1, "k" * 300), (2, "k" * 300), (2, "other"), (3, "k" * 300)]
     got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(documents(spark, rows)).collect())
-    assert got == [(1, 300, 299 - 99), (2, 5, 0), (2, 300, 0), (3, 300, 300)] or got == [(1, 300, 300 - 0), (2, 5, 0), (2, 300, 0), (3, 300, 300)]
+    assert got == [(1, 300, 299), (2, 5, 0), (2, 300, 0), (3, 300, 300)]  # the first string of document 1 starts nowhere earlier
 
 
 # 8: WARC
@@ -389,7 +389,7 @@ def test_offending_sentence_is_found_and_unlabelled_words_are_not(spark):
             sentences[rng.randrange(6)] += " you " + rng.choice(["grub", "blot"])
         rows.append((i, ". ".join(sentences) + "."))
         labels.append((i, 1, int(toxic)))
-    rows += [(1000, None), (1001, ""), (1002, "w1. " * 20000), (None, "grub")]
+    rows += [(1000, None), (1001, ""), (1002, "w1. " * 20000), (None, "you grub")]
     docs, marks = documents(spark, rows), spark.createDataFrame([*labels, (5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.toxicity_model(docs, marks)
     got = toxicity.score_documents(docs, model).collect()
