@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.operators.scan import top_per_key, turn_bucket, union_all
 
 CASE_SCHEMA = (
-    "id string, tags array<string>, messages array<struct<speaker:string,text:string>>, "
+    "id string, tags array<string>, messages array<struct<speaker:string,text:string,turn:bigint>>, "
     "expected struct<detected:boolean,intentType:string,action:string,minConfidence:double,maxConfidence:double>, "
     "notes string, assessment string, family string"
 )
@@ -24,10 +24,10 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flatten_cases(cases: DataFrame) -> DataFrame:
-    """One row per message of a case, with the case's expectation beside it."""
+    """One row per message of a case, with the case's expectation beside it; turn is the stated one, else the place in the list."""
     return cases.select("id", "expected", "assessment", F.posexplode("messages").alias("pos", "m")).select(
         F.col("id").alias("case_id"),
-        F.col("pos").cast("bigint").alias("pos"),
+        F.coalesce("m.turn", F.col("pos").cast("bigint")).alias("turn"),
         F.when(F.col("m.speaker") == "interlocutor", "inbound")
         .when(F.col("m.speaker") == "user", "outbound")
         .alias("direction"),
@@ -40,8 +40,12 @@ def flatten_cases(cases: DataFrame) -> DataFrame:
 
 
 def cases_as_json(messages: DataFrame) -> DataFrame:
-    """Corpus documents as JSON text, one per piece of a conversation (at most 64 turns each)."""
+    """Corpus documents as JSON text. A conversation is one case; a long one travels in pieces of at most 64 turns that share its
+    id and expectation, so no row gathers a whole hot conversation."""
     piece = F.floor(F.col("turn") / TURNS_PER_CASE)
+    whole = messages.groupBy("conv_id").agg(
+        F.max(F.when(F.col("direction") == "inbound", F.col("truth_type"))).alias("t"), F.max("truth_assessment").alias("assessment")
+    )
     grouped = messages.groupBy("conv_id", piece.alias("piece")).agg(
         F.array_sort(
             F.collect_list(
@@ -51,15 +55,13 @@ def cases_as_json(messages: DataFrame) -> DataFrame:
                     "text",
                 )
             )
-        ).alias("ms"),
-        F.max(F.when(F.col("direction") == "inbound", F.col("truth_type"))).alias("t"),
-        F.max("truth_assessment").alias("assessment"),
-    )
+        ).alias("ms")
+    ).join(whole, "conv_id")
     return grouped.select(
         F.to_json(
             F.struct(
-                F.concat_ws("-", F.lit("case"), "conv_id", "piece").alias("id"),
-                F.transform("ms", lambda m: F.struct(m["speaker"].alias("speaker"), m["text"].alias("text"))).alias(
+                F.concat_ws("-", F.lit("case"), "conv_id").alias("id"),
+                F.transform("ms", lambda m: F.struct(m["speaker"].alias("speaker"), m["text"].alias("text"), m["turn"].alias("turn"))).alias(
                     "messages"
                 ),
                 F.struct(

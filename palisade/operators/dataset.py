@@ -140,7 +140,7 @@ def fnv1a(c: Column, dims: int) -> Column:
 def token_features(texts: DataFrame) -> DataFrame:
     """texts: id, pos, n, text -> id, name, w. The latest message weighs 1, earlier ones 0.35."""
     x = F.regexp_replace(F.regexp_replace(F.lower(nfkc(F.col("text"))), r"https?://\S+", " externalurl "), "[’ʼ']", "")
-    toks = F.transform(F.slice(F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, 512), lambda t: F.substring(t, 1, 48))
+    toks = F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     rows = texts.select("id", (F.col("pos") == F.col("n")).alias("cur"), toks.alias("t"))
     each = rows.select("id", "cur", "t", F.posexplode("t").alias("i", "tok"))
     w = F.when(F.col("cur"), 1.0).otherwise(0.35)
@@ -189,7 +189,6 @@ def class_weights(records: DataFrame) -> DataFrame:
 
 
 def to_vectors(features: DataFrame, dims: int = DIMENSIONS) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector  # noqa: F401  (keeps the ML import local)
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     @F.udf(VectorUDT())

@@ -321,25 +321,12 @@ def frame_evidence(frames: DataFrame) -> DataFrame:
 
 # ---- requests for listed keywords ---------------------------------------------------------------------------------
 
-MAX_KEYWORD_WORDS = 5
-
-
 def keyword_requests(normalized: DataFrame, keywords: DataFrame) -> DataFrame:
     """Messages that request a listed keyword; keywords: item_id, keyword. Word runs are matched by an equi-join."""
     one = normalized.select("conv_id", "turn", F.explode(clauses(F.col("text"), F.col("primary_lang"))).alias("c"))
     marked = one.select(
         "conv_id", "turn", F.col("c.clause").alias("clause"), F.split(F.regexp_replace("c.t", r"([\p{L}\p{N}]+)", "\u0001$1"), "\u0001").alias("parts")
     ).filter(F.size("parts") > 1)
-    runs = marked.select(
-        "*", F.posexplode(F.slice("parts", F.lit(2), F.size("parts"))).alias("i", "_word")
-    ).withColumn(
-        "run", F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(MAX_KEYWORD_WORDS), F.size("parts") - 1 - F.col("i"))),
-                lambda n: F.trim(F.regexp_replace(F.array_join(F.slice("parts", F.col("i") + 2, n), ""), r"[^\p{L}\p{N}]+", " ")),
-            )
-        )
-    )
     wanted = (
         keywords.select(
             F.explode(
@@ -352,6 +339,17 @@ def keyword_requests(normalized: DataFrame, keywords: DataFrame) -> DataFrame:
         .filter(F.length("run") >= 3)
         .distinct()
     )
+    lengths = wanted.agg(F.collect_set(F.size(F.split("run", " "))).alias("lengths"))  # one row: the word counts that occur
+    runs = marked.select(
+        "*", F.posexplode(F.slice("parts", F.lit(2), F.size("parts"))).alias("i", "_word")
+    ).crossJoin(F.broadcast(lengths)).withColumn(
+        "run", F.explode(
+            F.transform(
+                F.filter("lengths", lambda n: n <= F.size("parts") - 1 - F.col("i")),
+                lambda n: F.trim(F.regexp_replace(F.array_join(F.slice("parts", F.col("i") + 2, n), ""), r"[^\p{L}\p{N}]+", " ")),
+            )
+        )
+    )
     hits = runs.join(wanted, "run").select(
         "conv_id", "turn", "clause", "keyword", bind(F.array_join(F.slice("parts", F.lit(1), F.col("i") + 1), "")).alias("b")
     )

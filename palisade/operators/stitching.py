@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisade.operators.scan import hour_bucket, running, top_per_key, union_all
+from palisade.sources.tables import stored
 
 TTL_MS = 900_000
 SKEW_MS = 60_000
@@ -38,27 +39,29 @@ def tainted_context(events: DataFrame, shift_ms: int = 0) -> DataFrame:
     )
 
 
-def context_lineage(roots: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """Contexts handed from parent to child within the TTL of each hop.
+def context_lineage(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Contexts handed from parent to child within the TTL of each hop, over as many hops as there are.
 
     roots: subject, ts_ms, session_id, scenario; edges: parent, child, ts_ms. A sabotage context is not handed on,
-    nor a subject to itself; the child's clock starts at the edge. Hops are bounded, each is one equi-join.
+    nor a subject to itself; the child's clock starts at the edge. Each hop is one equi-join of the rows that are new,
+    stored; it ends when a hop brings nothing new, also where edges of one moment form a ring.
     """
-    level = roots.select("subject", "ts_ms", "session_id", "scenario", F.lit(0).alias("hop"))
-    levels = [level]
-    for hop in range(1, hops + 1):
+    columns = ["subject", "ts_ms", "session_id", "scenario"]
+    level = known = stored(roots.select(*columns).distinct())
+    while not level.isEmpty():
         e, l = edges.alias("e"), level.alias("l")
-        level = (
+        handed = (
             l.join(e, F.col("l.subject") == F.col("e.parent"))
             .filter(
                 (F.col("l.scenario") != "SABOTAGE") & (F.col("e.parent") != F.col("e.child"))
                 & (F.col("e.ts_ms") >= F.col("l.ts_ms")) & (F.col("e.ts_ms") - F.col("l.ts_ms") <= TTL_MS)
             )
-            .select(F.col("e.child").alias("subject"), F.col("e.ts_ms"), "l.session_id", "l.scenario", F.lit(hop).alias("hop"))
+            .select(F.col("e.child").alias("subject"), F.col("e.ts_ms"), "l.session_id", "l.scenario")
             .distinct()
         )
-        levels.append(level)
-    return union_all(levels)
+        level = stored(handed.join(known, columns, "left_anti"))
+        known = known.unionByName(level)
+    return known
 
 
 def verdict_problem() -> Column:

@@ -20,14 +20,12 @@ def load_messages(spark, folder):
 @query(
     "flatten_corpus",
     """
-WITH m AS (SELECT *, turn // 64 AS piece FROM q_messages),
-e AS (SELECT conv_id, piece, max(CASE WHEN direction = 'inbound' THEN truth_type END) AS t,
-        max(truth_assessment) AS assessment FROM m GROUP BY ALL)
-SELECT 'case-' || conv_id || '-' || piece AS case_id,
-  row_number() OVER (PARTITION BY conv_id, piece ORDER BY turn) - 1 AS pos, direction, text,
+WITH e AS (SELECT conv_id, max(CASE WHEN direction = 'inbound' THEN truth_type END) AS t,
+        max(truth_assessment) AS assessment FROM q_messages GROUP BY ALL)
+SELECT 'case-' || conv_id AS case_id, turn, direction, text,
   t IS NOT NULL AS expected_detected, t AS expected_type, CASE WHEN t IS NULL THEN 'ALLOW' ELSE 'WARN' END AS expected_action,
   assessment
-FROM m JOIN e USING (conv_id, piece)""",
+FROM q_messages JOIN e USING (conv_id)""",
 )
 def flatten_corpus(spark, folder):
     return C.flatten_cases(C.parse_cases(C.cases_as_json(messages(spark, folder))))

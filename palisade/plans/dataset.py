@@ -68,7 +68,17 @@ def canonical_documents(spark, folder):
     return d.select(F.col("doc_id").alias("id"), T.canonical_text(F.col("text")).alias("canon"))
 
 
-@query("near_duplicate_pairs")
+cte("q_canon", f"SELECT doc_id AS id, {_canon('text')} AS canon FROM documents")
+cte("q_reps", "SELECT canon, min(id) AS rep FROM q_canon GROUP BY canon")
+cte("q_grams", "SELECT id, g, count(*) OVER (PARTITION BY id) AS n FROM (SELECT rep AS id, unnest(list_distinct(list_transform(range(1, greatest(1, length(canon) - 3) + 1), lambda i: substr(canon, i, 4)))) AS g FROM q_reps WHERE length(canon) >= 4)")
+cte(
+    "q_near",
+    """SELECT a, b, jaccard FROM (SELECT x.id AS a, y.id AS b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS jaccard FROM q_grams x JOIN q_grams y ON x.g = y.g AND x.id < y.id AND x.n >= 0.8 * y.n AND y.n >= 0.8 * x.n GROUP BY x.id, y.id)
+WHERE jaccard >= 0.8 UNION ALL SELECT rep, id, 1.0 FROM q_canon JOIN q_reps USING (canon) WHERE id <> rep""",
+)
+
+
+@query("near_duplicate_pairs", "SELECT a, b, jaccard FROM q_near")
 def near_duplicate_pairs(spark, folder):
     ensure_checkpoint_dir(spark)
     return T.near_duplicate_pairs(canonical_documents(spark, folder))
@@ -80,7 +90,13 @@ def document_groups(spark, folder):
     return T.duplicate_groups(docs.select("id"), T.near_duplicate_pairs(docs))
 
 
-@query("duplicate_groups")
+_GROUPS = """WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM q_near UNION SELECT b, a FROM q_near),
+reach AS (SELECT id, id AS other FROM q_canon UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.other),
+groups AS (SELECT id, min(other) AS group_id FROM reach GROUP BY id)
+"""
+
+
+@query("duplicate_groups", _GROUPS + "SELECT id, group_id FROM groups")
 def duplicate_groups(spark, folder):
     return document_groups(spark, folder)
 
@@ -102,20 +118,17 @@ def conflicting_labels(spark, folder):
     return j.groupBy("text_key").agg(F.sum("c").alias("n"), F.count("*").alias("n_labels")).filter("n_labels > 1")
 
 
-cte("q_groups", f"SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY {_canon('text')}) AS group_id FROM documents")
-
-
 @query(
     "group_split",
-    """WITH g AS (SELECT DISTINCT label, group_id FROM q_groups JOIN q_doc_labels USING (id)),
+    _GROUPS.rstrip() + """,
+g AS (SELECT DISTINCT label, group_id FROM groups JOIN q_doc_labels USING (id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256(CAST(group_id AS VARCHAR))) AS rk, count(*) OVER (PARTITION BY label) AS n FROM g)
 SELECT id, label, group_id, CASE WHEN group_id IN (SELECT group_id FROM r WHERE rk <= greatest(1, floor(n * 0.2))) THEN 'validation' ELSE 'train' END AS split
-FROM q_groups JOIN q_doc_labels USING (id)""",
+FROM groups JOIN q_doc_labels USING (id)""",
 )
 def group_split(spark, folder):
-    docs = canonical_documents(spark, folder)
-    reps = docs.groupBy("canon").agg(F.min("id").alias("group_id"))
-    return T.group_split(docs.join(reps, "canon").select("id", "group_id").join(doc_labels(spark, folder), "id"))
+    """Groups of equal and of near copies stay on one side of the split."""
+    return T.group_split(document_groups(spark, folder).join(doc_labels(spark, folder), "id"))
 
 
 @query(
@@ -134,7 +147,7 @@ def _fnv(x, dims):
 
 cte(
     "q_tokens",
-    """SELECT conv_id, cur, list_transform(regexp_extract_all(regexp_replace(regexp_replace(lower(kept), 'https?://\\S+', ' externalurl ', 'g'), '[’ʼ'']', '', 'g'), '[\\p{L}\\p{N}]+')[1:512], lambda t: left(t, 48)) AS t
+    """SELECT conv_id, cur, regexp_extract_all(regexp_replace(regexp_replace(lower(kept), 'https?://\\S+', ' externalurl ', 'g'), '[’ʼ'']', '', 'g'), '[\\p{L}\\p{N}]+') AS t
 FROM (SELECT conv_id, kept, age = 1 AS cur FROM q_bounded)""",
 )
 cte("q_tok", "SELECT conv_id, cur, CASE WHEN cur THEN 1.0 ELSE 0.35 END AS w, i, t[i] AS tok, CASE WHEN i > 1 THEN t[i - 1] END AS prev FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM q_tokens)")

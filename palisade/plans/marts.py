@@ -288,14 +288,14 @@ ROOTS = """SELECT user_id AS subject, ts_ms, event_id AS session_id, scenario FR
 @query(
     "context_lineage",
     f"""WITH RECURSIVE edges AS ({EDGES.format(lures='q_lures')}), walk AS (
-  SELECT subject, ts_ms, session_id, scenario, 0 AS hop FROM ({ROOTS.format(lures='q_lures')})
-  UNION SELECT e.child, e.ts_ms, w.session_id, w.scenario, w.hop + 1 FROM walk w JOIN edges e ON e.parent = w.subject
-  WHERE w.scenario <> 'SABOTAGE' AND e.parent <> e.child AND e.ts_ms >= w.ts_ms AND e.ts_ms - w.ts_ms <= 900000 AND w.hop < 3)
+  SELECT subject, ts_ms, session_id, scenario FROM ({ROOTS.format(lures='q_lures')})
+  UNION SELECT e.child, e.ts_ms, w.session_id, w.scenario FROM walk w JOIN edges e ON e.parent = w.subject
+  WHERE w.scenario <> 'SABOTAGE' AND e.parent <> e.child AND e.ts_ms >= w.ts_ms AND e.ts_ms - w.ts_ms <= 900000)
 SELECT * FROM walk""",
 )
 def context_lineage(spark, folder):
     l = S.lures(spark, folder)
-    return X.context_lineage(spark.sql(ROOTS.format(lures="{l}"), l=l), spark.sql(EDGES.format(lures="{l}"), l=l), hops=3)
+    return X.context_lineage(spark.sql(ROOTS.format(lures="{l}"), l=l), spark.sql(EDGES.format(lures="{l}"), l=l))
 
 
 _PROBLEM = f"""CASE WHEN is_scam IS NULL THEN 'flag_missing' WHEN confidence IS NULL THEN 'confidence_missing'

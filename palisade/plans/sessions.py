@@ -187,18 +187,14 @@ def conversation_boundaries(spark, folder):
 
 @query(
     "verdict_trajectory",
-    f"""SELECT conv_id, string_agg(turn || ':' || coalesce(intent, '-') || ':' || action, ' ' ORDER BY turn) AS trajectory,
-  bool_or(action = 'LOCK_INPUT' AND turn <= 8) AS locked_early FROM (SELECT *, {O.POLICY} AS action FROM q_single) GROUP BY conv_id, turn // 64""",
+    f"""SELECT conv_id, turn // 64 AS piece, string_agg(turn || ':' || coalesce(intent, '-') || ':' || action, ' ' ORDER BY turn) AS trajectory,
+  bool_or(bool_or(action = 'LOCK_INPUT' AND turn <= 8)) OVER (PARTITION BY conv_id) AS locked_early FROM (SELECT *, {O.POLICY} AS action FROM q_single) GROUP BY conv_id, turn // 64""",
 )
 def verdict_trajectory(spark, folder):
     v = single_verdicts(spark, folder).withColumn("action", S.policy_action(F.col("detected"), F.col("intent")))
     step = F.concat_ws(":", F.col("turn").cast("string"), F.coalesce("intent", F.lit("-")), "action")
-    # One row per 64 turns keeps the collected array bounded.
-    return (
-        v.groupBy("conv_id", F.floor(F.col("turn") / 64).alias("piece"))
-        .agg(
-            F.array_sort(F.collect_list(F.struct("turn", step.alias("s")))).alias("l"),
-            F.bool_or((F.col("action") == "LOCK_INPUT") & (F.col("turn") <= 8)).alias("locked_early"),
-        )
-        .select("conv_id", F.array_join(F.transform("l", lambda x: x["s"]), " ").alias("trajectory"), "locked_early")
-    )
+    v = v.select("conv_id", "turn", step.alias("s"), ((F.col("action") == "LOCK_INPUT") & (F.col("turn") <= 8)).alias("lock"))
+    # One row per 64 turns, numbered, keeps the collected array bounded; the lock is judged over the whole conversation.
+    pieces = v.groupBy("conv_id", F.floor(F.col("turn") / 64).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("turn", "s"))).alias("l"))
+    locked = v.groupBy("conv_id").agg(F.bool_or("lock").alias("locked_early"))
+    return pieces.join(locked, "conv_id").select("conv_id", "piece", F.array_join(F.transform("l", lambda x: x["s"]), " ").alias("trajectory"), "locked_early")

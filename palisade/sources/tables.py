@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from palisade.session import shared_folder
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a narrow intermediate table to the shared folder and read it back: cuts lineage, survives lost executors."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give costly per-row work one task per core when the input comes in fewer splits; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
