@@ -139,7 +139,7 @@ TINY = r"^[0-3]px$"
 def _technique(style: Column, cls: Column) -> Column:
     s = F.regexp_replace(F.lower(style), r"\s*([:;])\s*", "$1")
     get = lambda name: F.regexp_extract(s, rf"(?:^|;){name}:([^;]*)", 1)
-    num = lambda name: F.expr("try_cast(x as double)") if False else F.regexp_extract(get(name), r"^-?[0-9.]+", 0).try_cast("double")
+    num = lambda name: F.regexp_extract(get(name), r"^-?[0-9.]+", 0).try_cast("double")
     tiny = get("width").rlike(TINY) & get("height").rlike(TINY)
     hidden_class = cls.rlike(r"(?:^|\s)(?:visually-hidden|sr-only)(?:\s|$)")
     tf, clip, path, flt = get("transform"), get("clip"), get("clip-path"), get("filter")

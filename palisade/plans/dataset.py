@@ -231,7 +231,7 @@ def steps(spark, folder):
     """WITH s AS (SELECT *, sum(CAST(direction = 'inbound' AS INT)) OVER (PARTITION BY case_id ORDER BY turn) AS seq FROM q_steps),
 k AS (SELECT a.family, a.case_id, a.turn, coalesce(a.truth_type, 'SAFE') AS label, sha256(string_agg(b.text, chr(1) ORDER BY b.turn)) AS ctx FROM s a JOIN s b ON b.case_id = a.case_id AND b.direction = 'inbound'
   AND b.turn <= a.turn AND b.seq > a.seq - 4 AND a.at_ms - b.at_ms <= 60000 WHERE a.direction = 'inbound' AND a.kind <> 'ambiguous' GROUP BY ALL)
-SELECT family, ctx, min(case_id * 1000 + turn) AS step_id, count(*) AS n_steps, count(DISTINCT label) > 1 AS conflict FROM k GROUP BY family, ctx""",
+SELECT family, ctx, min(concat(case_id, '-', turn)) AS step_id, count(*) AS n_steps, count(DISTINCT label) > 1 AS conflict FROM k GROUP BY family, ctx""",
 )
 def expand_annotated_steps(spark, folder):
     from palisade.operators.sessions import with_context
@@ -242,7 +242,7 @@ def expand_annotated_steps(spark, folder):
     recent = F.filter(F.slice("ctx", F.greatest(F.lit(1), F.size("ctx") - 3), F.lit(4)), lambda x: F.col("ts_ms") - x["ts_ms"] <= 60_000)
     keyed = c.select("family", "conv_id", "turn", "label", F.sha2(F.array_join(F.transform(recent, lambda x: x["text"]), "\x01"), 256).alias("ctx"))
     return keyed.groupBy("family", "ctx").agg(
-        F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("step_id"), F.count("*").alias("n_steps"), (F.count_distinct("label") > 1).alias("conflict")
+        F.min(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("step_id"), F.count("*").alias("n_steps"), (F.count_distinct("label") > 1).alias("conflict")
     )
 
 

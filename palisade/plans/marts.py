@@ -386,7 +386,7 @@ def rolling_usage_audit(spark, folder):
     return X.rolling_usage(log, 1500)
 
 
-REPLIES = """SELECT conv_id * 1000 + turn AS reply_id, CASE (conv_id + turn) % 6
+REPLIES = """SELECT concat(conv_id, '-', turn) AS reply_id, CASE (conv_id + turn) % 6
   WHEN 0 THEN concat('{{"isScam": ', CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'false' END, ', "confidence": ', CAST((conv_id * 7) % 100 AS {text}), ', "reasoning": "asks for a card"}}')
   WHEN 1 THEN '{{"fraud": "yes", "score": "high", "why": "moves to telegram"}}'
   WHEN 2 THEN 'I think this is a scam: it wants the seed phrase'

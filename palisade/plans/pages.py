@@ -1,5 +1,6 @@
 """Queries over hosts, pages and forms."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.dims import hosts as H
@@ -10,6 +11,7 @@ from palisade.plans.corpus_text import message_urls
 from palisade.plans.registry import query
 from palisade.sources import forms as FS
 from palisade.sources.planted import messages, watchlist
+from palisade.sources.tables import stored
 
 # What a reader of the templates finds: (k, field number, kind of field, hiding technique).
 TRUTH = [
@@ -50,8 +52,15 @@ def classified(source: str) -> str:
   FROM (SELECT DISTINCT host FROM {source}) LEFT JOIN q_domains ON host = domain OR ends_with(host, '.' || domain) GROUP BY host)"""
 
 
-def forms(spark, folder):
-    return FS.extract_forms(FS.planted_pages(spark, folder))
+FORMS: dict[tuple[str, str], DataFrame] = {}
+
+
+def forms(spark, folder) -> DataFrame:
+    """The narrow table of forms. A page is parsed once per application and folder; all detectors read the stored table."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in FORMS:
+        FORMS[key] = stored(FS.extract_forms(FS.planted_pages(spark, folder)))
+    return FORMS[key]
 
 
 def all_urls(spark, folder):

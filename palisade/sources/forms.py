@@ -133,8 +133,6 @@ def extract_forms(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                if "<form" not in html.lower():
-                    continue
                 reader = _FormReader()
                 reader.feed(html)
                 for n, f in enumerate(reader.forms):
@@ -147,4 +145,5 @@ def extract_forms(pages: DataFrame) -> DataFrame:
                     rows.append((page_id, url, n, f["action"], text, " ".join(f["timer"]).strip(), fields))
             yield pd.DataFrame(rows, columns=["page_id", "url", "form_no", "action", "form_text", "timer_text", "fields"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(read, FORM_SCHEMA)
+    with_form = pages.filter(F.lower("html").contains("<form"))  # other pages, and null ones, never leave the JVM
+    return with_form.select("page_id", "url", "html").mapInPandas(read, FORM_SCHEMA)
