@@ -27,6 +27,7 @@ SENT_HASHES = 2_000_000
 _NUM, _UNIT, _NAME, _LITERAL = 1, 2, 3, 0
 _HASHES = np.array([0, *(xxhash.xxh3_64_intdigest(x) for x in (b"<number>", b"<unit>", b"<name>"))], np.uint64)
 _NUMBER = re.compile(rb"[+-]?[$]?[0-9][0-9.,:/]*%?(?:st|nd|rd|th)?")
+_STOPS = b".!?:"
 _EDGE = b".,;:!?\"'()[]{}<>*_"
 #: Units, lower case.
 UNITS = frozenset(
@@ -39,7 +40,7 @@ UNITS = frozenset(
 class Words(dict):
     """word -> row in tables of literal hash and flags, remembered for at most `limit` words."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit = limit
         self.hashes, self.flags = np.zeros(limit, np.uint64), np.zeros(limit, np.uint8)
@@ -47,9 +48,14 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         at = self[word] = len(self)
         core = word.strip(_EDGE)
-        text = core.decode("utf-8", "replace")
-        flags = 1 * bool(_NUMBER.fullmatch(core)) + 2 * (core.lower() in UNITS) + 4 * (len(text) > 2 and text[0].isupper() and text[1:].islower()) + 8 * (word[-1:] in b".!?:")
-        self.hashes[at], self.flags[at] = xxhash.xxh3_64_intdigest(text.lower().encode()), flags
+        if core.isascii():
+            low, name = core.lower(), len(core) > 2 and core[:1].isupper() and core[1:].islower()
+        else:
+            text = core.decode("utf-8", "replace")
+            low, name = text.lower().encode("utf-8", "replace"), len(text) > 2 and text[0].isupper() and text[1:].islower()
+        number = core[:1] < b":" and _NUMBER.fullmatch(core) is not None
+        self.hashes[at] = xxhash.xxh3_64_intdigest(low)
+        self.flags[at] = number + 2 * (low in UNITS) + 4 * name + 8 * (word[-1] in _STOPS)
         return at
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,9 +100,27 @@ def text_windows(text: str | None, table: Words, sizes: list[int]) -> tuple[np.n
 _WINDOWS = "id long, hash long, at int, slots array<string>"
 
 
+class Wanted:
+    """Sorted hashes behind a bit table: most windows are told apart by one look-up."""
+
+    BITS = np.uint64(2**22 - 1)
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.table = np.zeros(int(self.BITS) + 1, bool)
+        self.table[hashes & self.BITS] = True
+
+    def hits(self, found: np.ndarray) -> np.ndarray:
+        near = np.flatnonzero(self.table[found & self.BITS])
+        if not len(near):
+            return near
+        at = np.minimum(np.searchsorted(self.hashes, found[near]), len(self.hashes) - 1)
+        return near[self.hashes[at] == found[near]]
+
+
 def _emit(sizes: list[int], wanted: np.ndarray | None, own_size: bool):
     def run(batches):
-        table = Words()
+        table, filtered = Words(), None if wanted is None else Wanted(wanted)
         for batch in batches:
             ids, hashes, places, slots = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -106,7 +130,7 @@ def _emit(sizes: list[int], wanted: np.ndarray | None, own_size: bool):
                     n = len((text or "").encode("utf-8", "surrogatepass").split())
                     mine = [min(n, WINDOW)] if n >= MIN_WORDS else []
                 found, starts, lengths, words, kind = text_windows(text, table, mine)
-                hit = np.arange(len(found)) if wanted is None else np.flatnonzero(np.isin(found, wanted))
+                hit = np.arange(len(found)) if filtered is None else filtered.hits(found)
                 for i in hit:
                     lo, hi = int(starts[i]), int(starts[i] + lengths[i])
                     ids.append(key)
