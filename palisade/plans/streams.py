@@ -6,6 +6,7 @@ from palisade.operators import assets as A
 from palisade.operators import evidence as E
 from palisade.operators import sessions as S
 from palisade.operators.scan import only
+from palisade.oracle import assets as OA
 from palisade.plans.corpus_text import normalized
 from palisade.plans.registry import query
 from palisade.streaming import streams as X
@@ -24,7 +25,16 @@ def stream_score_conversations(spark, folder):
     return v.select("conv_id", "turn", "direction", F.col("best.intent").alias("intent"), F.round(S.confidence(F.col("best")), 4).alias("confidence"))
 
 
-@query("stream_cross_leaks")
+_BEFORE = "(PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    "stream_cross_leaks",
+    f"""SELECT conv_id, turn, card_now, cvv_now, exp_now, card_before, coalesce(bool_or(cvv_now) OVER {_BEFORE}, FALSE) AS cvv_before, exp_before FROM (
+  SELECT *, cvv_own OR ((card_now OR card_before) AND lone) AS cvv_now FROM (
+    SELECT *, coalesce(bool_or(card_now) OVER {_BEFORE}, FALSE) AS card_before, coalesce(bool_or(exp_now) OVER {_BEFORE}, FALSE) AS exp_before FROM (
+      SELECT conv_id, turn, len(cards) > 0 AS card_now, cvv IS NOT NULL AS cvv_own, {OA.lone('text')} IS NOT NULL AS lone, expiry IS NOT NULL AS exp_now FROM q_assets WHERE direction = 'outbound')))""",
+)
 def stream_cross_leaks(spark, folder):
     m = A.with_assets(X.stream_messages(spark, folder).filter("direction = 'outbound'"))
     a = m.select("conv_id", "turn", (F.size("cards") > 0).alias("card_now"), F.col("cvv").isNotNull().alias("cvv_own"),
@@ -32,12 +42,17 @@ def stream_cross_leaks(spark, folder):
     return X.drain(X.with_stream_flags(a))
 
 
-@query("stream_tainted_context")
+@query(
+    "stream_tainted_context",
+    """SELECT form_user, form_ts, form_id, form_user AS lure_user, l.t AS lure_ts, l.i AS lure_id FROM (
+  SELECT f.user_id AS form_user, f.ts AS form_ts, f.event_id AS form_id, max({'t': e.ts, 'i': e.event_id}) AS l FROM events f JOIN events e ON e.user_id = f.user_id AND e.event_type = 'error'
+    AND f.ts >= e.ts - INTERVAL 60 SECONDS AND f.ts <= e.ts + INTERVAL 15 MINUTES WHERE f.event_type IN ('purchase', 'signup') GROUP BY ALL)""",
+)
 def stream_tainted_context(spark, folder):
     e = X.stream_table(spark, folder, "events").withColumn("at", F.col("ts").cast("timestamp"))
     lures = e.filter("event_type = 'error'").select(F.col("user_id").alias("lure_user"), F.col("at").alias("lure_ts"), F.col("event_id").alias("lure_id"))
     forms = e.filter("event_type IN ('purchase', 'signup')").select(F.col("user_id").alias("form_user"), F.col("at").alias("form_ts"), F.col("event_id").alias("form_id"))
-    return X.drain(X.tainted(lures, forms))
+    return X.latest_lure(X.drain(X.tainted(lures, forms)))
 
 
 @query("stream_dedup")
@@ -45,7 +60,12 @@ def stream_dedup(spark, folder):
     return X.drain(X.dedup(X.stream_messages(spark, folder))).select("conv_id", "turn", "text")
 
 
-@query("stream_quarantine")
+@query(
+    "stream_quarantine",
+    f"""SELECT conv_id, turn, q AS quarantined, q OR s AS is_scam, CASE WHEN q THEN 99.0 ELSE c END AS confidence FROM (
+  SELECT *, coalesce(bool_or(s AND c >= 75) OVER {_BEFORE}, FALSE) AS q FROM (
+    SELECT conv_id, turn, (conv_id * 3 + turn) % 4 = 1 AS s, CAST((conv_id * 31 + turn * 17) % 101 AS DOUBLE) AS c FROM conversations))""",
+)
 def stream_quarantine(spark, folder):
     c = X.stream_table(spark, folder, "conversations")
     h = (F.col("conv_id") * 31 + F.col("turn") * 17) % 101
@@ -53,8 +73,11 @@ def stream_quarantine(spark, folder):
     return X.drain(X.quarantine(v))
 
 
-@query("stream_detection_counts")
+@query(
+    "stream_detection_counts",
+    "SELECT time_bucket(INTERVAL '5 minutes', ts) AS from_ts, 'h' || (event_id % 9) AS host, event_type AS kind, count(*) AS n FROM events GROUP BY ALL",
+)
 def stream_detection_counts(spark, folder):
     e = X.stream_table(spark, folder, "events")
     v = e.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("h"), (F.col("event_id") % 9).cast("string")).alias("host"), F.col("event_type").alias("kind"))
-    return X.drain(X.detection_counts(v))
+    return X.drain_latest(X.detection_counts(v), ["from_ts", "host", "kind"])

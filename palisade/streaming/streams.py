@@ -11,14 +11,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palisade.dims.phrases import CYCLE, EPOCH_MS, GAPS_MS
 from palisade.sources.planted import phrase_bank
-from palisade.session import ensure_checkpoint_dir
+from palisade.session import shared_folder
 
 WINDOW_MS, KEEP = 900_000, 30
+FILES_PER_BATCH = 8  # a backlog is worked off in batches of so many files
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def stream_messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,8 +38,7 @@ def stream_messages(spark: SparkSession, folder: str) -> DataFrame:
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is available now into a fresh folder under the checkpoint folder and read it back."""
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = (
         stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True).start()
@@ -47,6 +47,21 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def drain_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run an aggregating stream over what is available now and keep the last state of every group, open windows included."""
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{base}/out")
+
+    q = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(stream.schema.add("_batch", "long")).parquet(f"{base}/out")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_s")).select(*keys, "_s.*")
+
+
 def with_stream_context(flagged: DataFrame) -> DataFrame:
     """flagged: conv_id, turn, ts_ms, direction, clusters (joined text), payout. Emits every message with its inbound
     context; state is at most 30 entries per conversation, dropped after 15 minutes of event time."""
@@ -119,6 +134,12 @@ def tainted(lures: DataFrame, forms: DataFrame) -> DataFrame:
     )
 
 
+def latest_lure(pairs: DataFrame) -> DataFrame:
+    """Of the lures within reach of a form event the latest one stands, as a later context replaces the earlier."""
+    best = pairs.groupBy("form_user", "form_ts", "form_id").agg(F.max(F.struct("lure_ts", "lure_id")).alias("l"))
+    return best.select("form_user", "form_ts", "form_id", F.col("form_user").alias("lure_user"), "l.lure_ts", "l.lure_id")
+
+
 def dedup(messages: DataFrame) -> DataFrame:
     long_enough = messages.filter((F.col("direction") == "inbound") & (F.length("text") >= 5))
     return long_enough.withWatermark("ts", "15 minutes").dropDuplicatesWithinWatermark(["conv_id", "text"])
