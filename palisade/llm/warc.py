@@ -2,7 +2,7 @@
 
 Writing: one record per page. Of pages with equal payloads of at least `MIN_REVISIT` bytes the one with the largest id is a response, the others
 are revisits without payload that name it. Records are texts, so Spark's text sink writes the archives: its line separator is the
-blank line that ends a record, and no file holds more than `PER_FILE` records.
+blank line that ends a record, and no file holds more than `PER_FILE` records. Files are gzipped; offsets count in the plain stream.
 
 Reading: archives are read as whole files (bounded by `PER_FILE` records) and cut by Content-Length, so payloads may hold anything.
 
@@ -13,6 +13,7 @@ A URL key with very many captures spans several ranges, as bounds are taken over
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import re
@@ -68,7 +69,7 @@ def record(page_id: Column, url: Column, html: Column, digest: Column, refers: C
 def write_archives(pages: DataFrame, folder: str) -> str:
     """One WARC record per row of `pages` (page_id, url, html) under `folder`; returns the folder of the archives."""
     rows = classify(pages)
-    rows.select(record(F.col("page_id"), F.col("url"), F.col("html"), F.col("payload_digest"), F.col("refers_to")).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", PER_FILE).text(f"{folder}/archives")
+    rows.select(record(F.col("page_id"), F.col("url"), F.col("html"), F.col("payload_digest"), F.col("refers_to")).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(f"{folder}/archives")
     return f"{folder}/archives"
 
 
@@ -104,7 +105,7 @@ def _read(batches):
     for batch in batches:
         for path, data in zip(batch.column(0), batch.column(1), strict=True):
             rows = []
-            for offset, length, headers, block in records(data.as_py()):
+            for offset, length, headers, block in records(gzip.decompress(data.as_py())):
                 kind, number, refers = headers["warc-type"], _ID.match(headers["warc-record-id"]), _ID.match(headers.get("warc-refers-to", ""))
                 payload = block.partition(b"\r\n\r\n")[2]
                 digest = headers["warc-payload-digest"].removeprefix("sha1:")
