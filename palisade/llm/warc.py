@@ -113,6 +113,8 @@ def _read(batches):
                     raise ValueError(f"payload digest of {headers['warc-record-id']} does not hold")
                 url = headers.get("warc-target-uri")
                 rows.append((number and int(number[1]), kind, digest, len(payload) if kind == "response" else None, refers and int(refers[1]), url, url_key(url or ""), headers["warc-date"], path.as_py(), offset, length))
+            if not rows:  # an archive of an empty partition
+                continue
             names = [x.split()[0] for x in _RECORDS.split(", ")]
             types = [pa.int64() if x.endswith("long") else pa.string() for x in _RECORDS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
