@@ -49,7 +49,7 @@ def stream_cross_leaks(spark, folder):
     AND f.ts >= e.ts - INTERVAL 60 SECONDS AND f.ts <= e.ts + INTERVAL 15 MINUTES WHERE f.event_type IN ('purchase', 'signup') GROUP BY ALL)""",
 )
 def stream_tainted_context(spark, folder):
-    e = X.stream_table(spark, folder, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    e = X.stream_table(spark, folder, "events", F.col("ts")).withColumn("at", F.col("ts").cast("timestamp"))
     lures = e.filter("event_type = 'error'").select(F.col("user_id").alias("lure_user"), F.col("at").alias("lure_ts"), F.col("event_id").alias("lure_id"))
     forms = e.filter("event_type IN ('purchase', 'signup')").select(F.col("user_id").alias("form_user"), F.col("at").alias("form_ts"), F.col("event_id").alias("form_id"))
     return X.latest_lure(X.drain(X.tainted(lures, forms)))
@@ -67,7 +67,7 @@ def stream_dedup(spark, folder):
     SELECT conv_id, turn, (conv_id * 3 + turn) % 4 = 1 AS s, CAST((conv_id * 31 + turn * 17) % 101 AS DOUBLE) AS c FROM conversations))""",
 )
 def stream_quarantine(spark, folder):
-    c = X.stream_table(spark, folder, "conversations")
+    c = X.stream_conversations(spark, folder)
     h = (F.col("conv_id") * 31 + F.col("turn") * 17) % 101
     v = c.select("conv_id", "turn", ((F.col("conv_id") * 3 + F.col("turn")) % 4 == 1).alias("is_scam"), h.cast("double").alias("confidence"))
     return X.drain(X.quarantine(v))
@@ -78,6 +78,6 @@ def stream_quarantine(spark, folder):
     "SELECT time_bucket(INTERVAL '5 minutes', ts) AS from_ts, 'h' || (event_id % 9) AS host, event_type AS kind, count(*) AS n FROM events GROUP BY ALL",
 )
 def stream_detection_counts(spark, folder):
-    e = X.stream_table(spark, folder, "events")
+    e = X.stream_table(spark, folder, "events", F.col("ts"))
     v = e.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("h"), (F.col("event_id") % 9).cast("string")).alias("host"), F.col("event_type").alias("kind"))
     return X.drain_latest(X.detection_counts(v), ["from_ts", "host", "kind"])

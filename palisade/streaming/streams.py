@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,16 +17,47 @@ WINDOW_MS, KEEP = 900_000, 30
 FILES_PER_BATCH = 8  # a backlog is worked off in batches of so many files
 
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+def stream_table(spark: SparkSession, folder: str, name: str, order: Column) -> DataFrame:
+    """A table as a stream: one file, or a folder of part files, which is replayed in the order of event time (`order`)."""
+    path = f"{folder}/{name}.parquet"
+    rows = spark.read.parquet(path)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return source.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return source.parquet(time_ranged(rows, order))
 
 
-def stream_messages(spark: SparkSession, folder: str) -> DataFrame:
-    conv = stream_table(spark, folder, "conversations").filter(F.col("role").isin("user", "assistant"))
+def time_ranged(rows: DataFrame, order: Column) -> str:
+    """Folder with the rows in files of ascending ranges of `order`, which a file stream reads in this sequence.
+
+    No row comes later than one of a batch before, so none is late for a watermark and carried state sees the turns in order; a long
+    conversation reaches its stateful step in as many parts as it has ranges.
+    """
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    rows.repartitionByRange(max(1, rows.rdd.getNumPartitions()), order).write.parquet(folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((f for f in fs.listStatus(place) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    for i, f in enumerate(parts):  # a file stream goes by modification time
+        fs.setTimes(f.getPath(), parts[0].getModificationTime() + 1000 * i, -1)
+    return folder
+
+
+def sent_ms() -> Column:
     gap = F.element_at(F.array(*[F.lit(g) for g in GAPS_MS]), (F.col("conv_id") % 4 + 1).cast("int"))
+    return F.lit(EPOCH_MS) + F.col("conv_id") * 3_600_000 + F.col("turn") * gap
+
+
+def stream_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return stream_table(spark, folder, "conversations", sent_ms())
+
+
+def stream_messages(spark: SparkSession, folder: str) -> DataFrame:
+    conv = stream_conversations(spark, folder).filter(F.col("role").isin("user", "assistant"))
     base = conv.select(
-        "conv_id", "turn", (F.lit(EPOCH_MS) + F.col("conv_id") * 3_600_000 + F.col("turn") * gap).alias("ts_ms"),
+        "conv_id", "turn", sent_ms().alias("ts_ms"),
         F.when(F.col("role") == "user", "outbound").otherwise("inbound").alias("direction"), F.col("text").alias("raw"),
         ((F.col("conv_id") * 7 + F.col("turn")) % CYCLE).cast("int").alias("k"),
     )
