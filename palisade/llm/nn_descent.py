@@ -1,14 +1,13 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, searched greedily.
 
-Equal vectors are one node (a hot vector is one row). The graph starts from groups around pivots (large groups are split by a hash) with exact
-neighbours inside a group. Each round then joins neighbours of neighbours: every node gathers its nearest neighbours and reverse
+Equal vectors are one node (a hot vector is one row). The graph starts from groups around pivots with exact neighbours inside a group. The
+number of pivots grows with the nodes, so groups stay near `GROUP`; they are found over two levels (cells of pivots around coarse ones), and
+a group that is larger all the same is split around pivots of its own, never at random. Each round then joins neighbours of neighbours: every node gathers its nearest neighbours and reverse
 neighbours with their vectors, all pairs of that short list are measured, and a pair is sent on where it beats the current K-th
 distance of one end. The best K per node stay. Rounds end when few edges change.
 
-Recall measured against brute force over all queries of a table of 10,256 vectors: 0.968.
-
-A query starts at its nearest pivots and expands the nearest unexpanded nodes of its pool through the graph, all queries of a table at
-once, until the best `POOL` nodes of each are expanded. Distances are exact (double precision, original vectors).
+A query starts at itself, its neighbours in the graph and its nearest pivots and expands the nearest unexpanded nodes of its pool through the graph, all queries of a table at
+once, until the best `pool_size` nodes of each are expanded. Distances are exact (double precision, original vectors).
 """
 
 from __future__ import annotations
@@ -23,10 +22,11 @@ from palisade.llm.common import save, shared_dir
 
 NEIGHBOURS = 20  # K of the graph
 GATHER = 40  # neighbours and reverse neighbours a node compares, nearest first
-PIVOTS, NEAR = 256, 6  # bounded sample that starts groups and searches (256 vectors, sent to tasks); groups a node joins
-GROUP = 2000  # nodes compared with each other at the start; larger groups are split by a hash
-ROUNDS, CHANGED = 3, 0.01  # rounds at most; share of edges under which they end
-POOL, STEP, ENTRIES = 160, 20, 8  # nodes a search keeps, expands per hop, starts from
+PIVOTS, NEAR = 256, 6  # at least so many nodes start groups and searches, see `pivot_count` (sent to tasks); groups a node joins
+GROUP = 2000  # groups have half as many nodes on average; larger ones are split around pivots of their own
+FLAT, CELLS = 1024, 12  # pivots compared one by one up to this number; cells of pivots a node looks into beyond it
+CHANGED = 0.001  # share of edges under which rounds end
+POOL, STEP, ENTRIES = 160, 8, 8  # nodes a search keeps at least, see `pool_size`; expands that part of them per hop; pivots it starts from
 
 
 def clean_vectors(rows: DataFrame) -> DataFrame:
@@ -58,15 +58,62 @@ def _squares(m: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
-def _to_pivots(pivots: np.ndarray, ids: np.ndarray, n: int):
+def pivot_count(nodes: int) -> int:
+    return max(PIVOTS, -(-2 * NEAR * nodes // GROUP))
+
+
+def pool_size(nodes: int) -> int:
+    """A search keeps more nodes of a larger graph, or its recall falls with the size."""
+    return max(POOL, int(POOL * (nodes / 10_000) ** 0.5))
+
+
+def _closest(d: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n smallest values of every row, smallest first."""
+    n = min(n, d.shape[1])
+    near = np.argpartition(d, n - 1, axis=1)[:, :n] if n < d.shape[1] else np.tile(np.arange(n), (len(d), 1))
+    return np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+
+
+class Pivots:
+    """Pivots by number; beyond `flat` they lie in cells around coarse pivots and only the nearest cells of a vector are looked into."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, flat: int):
+        self.ids, self.matrix, self.cells = ids, matrix, None
+        if len(ids) > flat:
+            self.coarse = matrix[:: int(len(ids) ** 0.5)]
+            home = np.concatenate([_squares(matrix[i : i + 4096], self.coarse).argmin(1) for i in range(0, len(ids), 4096)])
+            self.cells = [np.flatnonzero(home == c) for c in range(len(self.coarse))]
+
+    def near(self, m: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row of `m`, pivot id) for the n nearest pivots of every row."""
+        if self.cells is None:
+            best = _closest(_squares(m, self.matrix), n)
+            return np.repeat(np.arange(len(m)), best.shape[1]), self.ids[best].ravel()
+        probed = _closest(_squares(m, self.coarse), CELLS)
+        rows, found, dist = [], [], []
+        for c, cell in enumerate(self.cells):
+            at = np.flatnonzero((probed == c).any(1))
+            if not len(at) or not len(cell):
+                continue
+            d = _squares(m[at], self.matrix[cell])
+            best = _closest(d, n)
+            rows.append(np.repeat(at, best.shape[1]))
+            found.append(cell[best].ravel())
+            dist.append(np.take_along_axis(d, best, 1).ravel())
+        rows, found, dist = (np.concatenate(x) for x in (rows, found, dist))
+        order = np.lexsort((found, dist, rows))
+        rows, found = rows[order], found[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < n
+        return rows[keep], self.ids[found[keep]]
+
+
+def _to_pivots(pivots: Pivots, n: int):
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            d = _squares(_matrix(batch.column(1)), pivots)
-            best = np.argsort(d, axis=1, kind="stable")[:, :n]
-            take = np.repeat(np.arange(batch.num_rows), best.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), pa.array(ids[best].ravel())], names=["node", "pivot"])
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                rows, found = pivots.near(_matrix(part.column(1)), n)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(found)], names=["node", "pivot"])
 
     return run
 
@@ -75,14 +122,37 @@ def _edges(src: np.ndarray, dst: np.ndarray, dist: np.ndarray) -> pa.Table:
     return pa.table({"src": src.astype(np.int64), "dst": dst.astype(np.int64), "dist": dist.astype(np.float64)})
 
 
-def _group_edges(k: int):
+def _exact(ids: np.ndarray, m: np.ndarray, k: int):
+    """Edges to the k nearest others, in blocks of rows."""
+    for lo in range(0, len(ids), 1000):
+        d = np.sqrt(_squares(m[lo : lo + 1000], m))
+        d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
+        near = _closest(d, min(k, len(ids) - 1))
+        yield _edges(np.repeat(ids[lo : lo + 1000], near.shape[1]), ids[near.ravel()], np.take_along_axis(d, near, 1).ravel())
+
+
+def _split_edges(ids: np.ndarray, m: np.ndarray, k: int, largest: int):
+    """As `_exact`, but beyond `largest` nodes inside overlapping groups around members, split again while that makes them smaller."""
+    if len(ids) <= largest:
+        if len(ids) > 1:
+            yield from _exact(ids, m, k)
+        return
+    step = max(1, largest // (2 * NEAR))
+    local = Pivots(np.arange(len(ids))[::step], m[::step], FLAT)
+    pairs = [local.near(m[lo : lo + 4096], NEAR) for lo in range(0, len(ids), 4096)]
+    rows = np.concatenate([r + lo for lo, (r, _) in zip(range(0, len(ids), 4096), pairs, strict=True)])
+    at = np.concatenate([p for _, p in pairs])
+    order = np.argsort(at, kind="stable")
+    for part in np.split(rows[order], np.flatnonzero(np.diff(at[order])) + 1):
+        yield from _split_edges(ids[part], m[part], k, largest) if len(part) < 0.7 * len(ids) else _exact(ids[part], m[part], k)
+
+
+def _group_edges(k: int, largest: int):
     def run(table: pa.Table) -> pa.Table:
-        ids, m = table.column("node").to_numpy(), _matrix(table.column("vec"))
-        d = np.sqrt(_squares(m, m))
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
-        src = np.repeat(np.arange(len(ids)), near.shape[1])
-        return _edges(ids[src], ids[near.ravel()], d[src, near.ravel()])
+        order = np.argsort(table.column("node").to_numpy(), kind="stable")
+        ids, m = table.column("node").to_numpy()[order], _matrix(table.column("vec"))[order]
+        none = np.zeros(0)
+        return pa.concat_tables([_edges(none, none, none), *_split_edges(ids, m, k, largest)])
 
     return run
 
@@ -117,20 +187,21 @@ _EDGE = "src long, dst long, dist double"
 
 
 def both_ways(graph: DataFrame) -> DataFrame:
-    return graph.select(F.col("src").alias("node"), F.col("dst").alias("other"), "dist").union(graph.select("dst", "src", "dist")).distinct()
+    both = graph.select(F.col("src").alias("node"), F.col("dst").alias("other"), "dist").union(graph.select("dst", "src", "dist"))
+    return both.groupBy("node", "other").agg(F.min("dist").alias("dist"))  # the ends of an edge may know it with other last digits
 
 
-def build_graph(nodes: DataFrame, folder: str, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def build_graph(nodes: DataFrame, folder: str, k: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
     """(graph of src, dst, dist with k rows per node; pivots of node, vec) from `nodes` (node, vec), distinct vectors."""
-    pivots = save(nodes.orderBy(F.xxhash64("node"), "node").limit(PIVOTS), folder, "pivots")
-    sample = pivots.toArrow()
-    ids, matrix = sample.column("node").to_numpy(), _matrix(sample.column("vec"))
-    placed = nodes.select("node", "vec").mapInArrow(_to_pivots(matrix, ids, NEAR), "node long, pivot long")
-    sizes = F.broadcast(placed.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("parts")))  # at most PIVOTS rows
-    grouped = placed.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).join(nodes, "node")
-    first = grouped.groupBy("pivot", "part").applyInArrow(_group_edges(k), _EDGE)
-    graph = save(nearest(first.distinct(), "src", k, "dist", "dst"), folder, "graph-0")
-    for step in range(1, rounds + 1):
+    n = nodes.count()
+    share = F.lit(min(1.0, pivot_count(n) / n) if n else 1.0)
+    pivots = save(nodes.filter((F.xxhash64("node").cast("double") / 2.0**64 + 0.5) <= share), folder, "pivots")
+    placed = nodes.select("node", "vec").mapInArrow(_to_pivots(sent(pivots), NEAR), "node long, pivot long")
+    first = placed.join(nodes, "node").groupBy("pivot").applyInArrow(_group_edges(k, 2 * GROUP), _EDGE).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+    graph = save(nearest(first, "src", k, "dist", "dst"), folder, "graph-0")
+    step = 0
+    while True:  # ends: a node's list only gets nearer
+        step += 1
         radius = graph.groupBy("src").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(float("inf")).alias("radius"))
         known = nodes.join(radius, nodes.node == radius.src, "left").select(F.col("node").alias("other"), F.struct(F.col("node").alias("id"), F.coalesce("radius", F.lit(float("inf"))).alias("radius"), "vec").alias("item"))
         around = nearest(both_ways(graph), "node", GATHER, "dist", "other").select("node", "other")
@@ -146,12 +217,18 @@ def build_graph(nodes: DataFrame, folder: str, k: int = NEIGHBOURS, rounds: int
     return graph, pivots
 
 
+def sent(pivots: DataFrame) -> Pivots:
+    """The pivots as tasks get them; the order is that of a hash, so that every part of them is a sample."""
+    sample = pivots.orderBy(F.xxhash64("node"), "node").toArrow()
+    return Pivots(sample.column("node").to_numpy(), _matrix(sample.column("vec")), FLAT)
+
+
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, pivots: DataFrame, folder: str, pool: int = POOL) -> DataFrame:
-    """(q, node, dist): the best `pool` nodes a greedy graph search finds for each of `queries` (q, qvec)."""
+    """(q, node, dist): the best `pool` nodes a greedy graph search finds for each of `queries` (q, qvec), where q is a node of the graph."""
     adjacent = save(nearest(both_ways(graph), "node", GATHER, "dist", "other").groupBy("node").agg(F.collect_list("other").alias("others")), folder, "adjacent")
-    sample = pivots.toArrow()
-    ids, matrix = sample.column("node").to_numpy(), _matrix(sample.column("vec"))
-    starts = queries.select("q", "qvec").mapInArrow(_to_pivots(matrix, ids, ENTRIES), "node long, pivot long").select(F.col("node").alias("q"), F.col("pivot").alias("node"))
+    starts = queries.select("q", "qvec").mapInArrow(_to_pivots(sent(pivots), ENTRIES), "node long, pivot long").select(F.col("node").alias("q"), F.col("pivot").alias("node"))
+    own = queries.select("q", F.col("q").alias("node"))
+    starts = starts.union(own).union(own.join(graph, F.col("node") == F.col("src")).select("q", "dst")).distinct()
 
     def measured(found: DataFrame) -> DataFrame:
         return found.join(nodes, "node").join(queries, "q").select("q", "node", distance(F.col("qvec"), F.col("vec")).alias("dist"), F.lit(False).alias("done"))
@@ -160,7 +237,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, pivots: DataF
     hop = 0
     while True:  # ends: a node is expanded once, and a pool only gets nearer
         hop += 1
-        front = nearest(state.filter("not done"), "q", STEP, "dist", "node").select("q", "node")
+        front = nearest(state.filter("not done"), "q", max(1, pool // STEP), "dist", "node").select("q", "node")
         if front.isEmpty():
             break
         reached = front.join(adjacent, "node").select("q", F.explode("others").alias("node")).distinct()
@@ -183,7 +260,7 @@ def nearest_neighbours(rows: DataFrame, is_query: str = "vec_id % 100 = 0", k: i
     graph, pivots = build_graph(nodes, folder)
     asked = members.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q"))
     queries = asked.select("q").distinct().join(nodes.select(F.col("node").alias("q"), F.col("vec").alias("qvec")), "q")
-    found = search(save(queries, folder, "queries"), nodes, graph, pivots, folder, max(POOL, k + 1))
+    found = search(save(queries, folder, "queries"), nodes, graph, pivots, folder, max(pool_size(nodes.count()), k + 1))
     first = nearest(members, "node", k + 1, "vec_id")  # of equal vectors only the k + 1 smallest ids can be answers
     answers = asked.join(found, "q").join(first, "node").filter("vec_id <> query_id")
     ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id"))).filter(F.col("rank") <= k)

@@ -219,6 +219,35 @@ def test_neighbours_recall_and_ties(spark):
     assert [a[1] for a in found[200]] == list(range(100, 110))
 
 
+def test_groups_of_neighbours_are_not_cut_at_random(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "GROUP", 60)
+    monkeypatch.setattr(nn_descent, "PIVOTS", 8)
+    monkeypatch.setattr(nn_descent, "FLAT", 300)  # 600 pivots: two levels
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(3000, 12)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "node long, vec array<float>")
+    graph, pivots = nn_descent.build_graph(nodes, nn_descent.shared_dir(spark))
+    assert 450 < pivots.count() < 750
+    found = {}
+    for r in graph.collect():
+        found.setdefault(r.src, set()).add(r.dst)
+    right = 0
+    for i in range(0, 3000, 10):
+        d = ((m - m[i]) ** 2).sum(1)
+        d[i] = np.inf
+        right += len(found[i] & set(np.argsort(d)[:20].tolist()))
+    assert right >= 0.9 * 20 * 300
+
+
+def test_pivots_over_two_levels_and_split_groups():
+    m = np.random.default_rng(3).normal(size=(5000, 8)).astype(np.float32)
+    flat, cells = (nn_descent.Pivots(np.arange(2000), m[:2000], n).near(m, 6) for n in (2000, 100))
+    sets = [set(zip(*(x.tolist() for x in p), strict=True)) for p in (flat, cells)]
+    assert len(sets[0]) == len(sets[1]) == 30000 and len(sets[0] & sets[1]) > 0.9 * 30000
+    edges = [set(zip(t.column("src").to_pylist(), t.column("dst").to_pylist(), strict=True)) for n in (5000, 600) for t in [nn_descent.pa.concat_tables(nn_descent._split_edges(np.arange(5000), m, 10, n))]]
+    assert len(edges[0]) == 50000 and len(edges[0] & edges[1]) > 0.8 * 50000
+
+
 def test_neighbours_of_few_and_none(spark):
     rows = [(0, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [1.0, 1.0])]
     got = nn_descent.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
