@@ -3,8 +3,9 @@
 Words are stripped of punctuation and lower-cased; numbers, names (capitalised words inside a sentence) and units (after a number) become
 typed placeholders. Windows of `WINDOW` template words with at least half of them literal are hashed and joined between documents and items. Hits
 of one document and item on one diagonal (same shift) are one match; it counts when it covers `COVER` of the item's windows or `RUN`
-windows. The slots of a match must be consistent: one value of the item always stands for one value of the document and the other way
-round, so an exact copy or a re-parameterised question passes and a chance mix of values does not.
+windows. The slots of a match must be consistent: one value of the item always stands for one value of the document, so an exact copy or a
+re-parameterised question passes and a chance mix of values does not; two values of an item may become the same one. An item without a
+half literal window (mostly numbers or names) is looked for word by word instead: its windows are hashed without placeholders.
 
 The window hashes of the benchmark go to the map tasks while there are at most `SENT_HASHES` of them (8 bytes each), so only hits leave
 a task; with a larger benchmark all document windows are shuffled to the same join.
@@ -68,32 +69,43 @@ class Words(dict):
         return self.hashes[at], self.flags[at]
 
 
-def template(words: list[bytes], table: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, slot type) per word."""
+def template(words: list[bytes], table: Words, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, slot type, hash of the word itself) per word; `lines`: first words of lines, which start a sentence as words after a stop do."""
     hashes, flags = table.look_up(words)
     number = flags & 1 > 0
     start = np.ones(len(words), bool)
     start[1:] = flags[:-1] & 8 > 0
+    start[lines] = True
     unit = flags & 2 > 0
     unit[1:] &= number[:-1]
     unit[:1] = False
     kind = np.where(number, _NUM, np.where(unit, _UNIT, np.where((flags & 4 > 0) & ~start, _NAME, _LITERAL)))
-    return np.where(kind == _LITERAL, hashes, _HASHES[kind]), kind
+    return np.where(kind == _LITERAL, hashes, _HASHES[kind]), kind, hashes
 
 
-def text_windows(text: str | None, table: Words, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """(hashes, starts, sizes) of the windows that are at least half literal, with words and slot types."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    hashes, kind = template(words, table) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+_EXACT = np.uint64(0x5EED_0F_E4AC7)  # tells windows of plain words from those of template words
+
+
+def text_windows(text: str | None, table: Words, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(hashes, starts, sizes, exact) of all windows, with words and slot types: template words where at least half are literal, else plain words (exact)."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    words = data.split()
+    none = np.zeros(0, np.int64)
+    if not words:
+        return np.zeros(0, np.uint64), none, none, np.zeros(0, bool), words, none
+    lines = np.cumsum([0, *(len(line.split()) for line in data.split(b"\n"))])
+    hashes, kind, plain = template(words, table, lines[lines < len(words)])
     slots = np.concatenate([[0], np.cumsum(kind != _LITERAL)])
     found = []
     for size in sizes:
         if len(words) >= size:
-            at = np.flatnonzero((slots[size:] - slots[:-size]) * 2 <= size)
-            found.append((windows(hashes, size)[at] ^ np.uint64(size), at, np.full(len(at), size)))
+            heavy = (slots[size:] - slots[:-size]) * 2 > size
+            both = windows(hashes, size) ^ np.uint64(size)
+            if heavy.any():
+                both = np.where(heavy, windows(plain, size) ^ np.uint64(size) ^ _EXACT, both)
+            found.append((both, np.arange(len(both)), np.full(len(both), size), heavy))
     if not found:
-        empty = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), empty, empty, words, kind
+        return np.zeros(0, np.uint64), none, none, np.zeros(0, bool), words, kind
     return *(np.concatenate(x) for x in zip(*found, strict=True)), words, kind
 
 
@@ -129,14 +141,16 @@ def _emit(sizes: list[int], wanted: np.ndarray | None, own_size: bool):
                 if own_size:
                     n = len((text or "").encode("utf-8", "surrogatepass").split())
                     mine = [min(n, WINDOW)] if n >= MIN_WORDS else []
-                found, starts, lengths, words, kind = text_windows(text, table, mine)
+                found, starts, lengths, exact, words, kind = text_windows(text, table, mine)
                 hit = np.arange(len(found)) if filtered is None else filtered.hits(found)
+                if own_size and not exact.all():
+                    hit = hit[~exact[hit]]  # an item with template windows goes by these alone
                 for i in hit:
                     lo, hi = int(starts[i]), int(starts[i] + lengths[i])
                     ids.append(key)
                     hashes.append(int(found[i].view(np.int64)))
                     places.append(lo)
-                    slots.append([words[j].strip(_EDGE).lower().decode("utf-8", "replace") for j in range(lo, hi) if kind[j] != _LITERAL])
+                    slots.append([words[j].strip(_EDGE).lower().decode("utf-8", "replace") for j in range(lo, hi) if kind[j] != _LITERAL and not exact[i]])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int32()), pa.array(slots, pa.list_(pa.string()))], names=["id", "hash", "at", "slots"])
 
     return run
@@ -164,8 +178,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, ru
     matches = hits.groupBy(*keys).agg(F.countDistinct("at").alias("matched_windows"), F.min("at").alias("at_word")).join(per_item, "item_id")
     matches = matches.filter(f"matched_windows >= {run} or matched_windows >= {cover} * item_windows")
     pairs = hits.select(*keys, F.explode(F.arrays_zip("slots", "item_slots")).alias("p")).select(*keys, F.col("p.slots").alias("d"), F.col("p.item_slots").alias("i")).distinct()
-    one = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("d").alias("nd"), F.countDistinct("i").alias("ni"), F.sum((F.col("d") != F.col("i")).cast("int")).alias("changed_slots"))
-    judged = matches.join(one, keys, "left").filter("n is null or (n = nd and n = ni)")  # one to one
+    one = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("i").alias("ni"), F.sum((F.col("d") != F.col("i")).cast("int")).alias("changed_slots"))
+    judged = matches.join(one, keys, "left").filter("n is null or n = ni")  # one value of the document for each of the item
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched_windows", (-F.col("at_word")).alias("early"), "at_word", "item_windows", F.coalesce("n", F.lit(0)).alias("n_slots"), F.coalesce("changed_slots", F.lit(0)).alias("changed_slots"))).alias("m"))
     return best.select("doc_id", "item_id", "m.at_word", "m.matched_windows", "m.item_windows", "m.n_slots", "m.changed_slots")
 

@@ -285,6 +285,17 @@ def test_inconsistent_slots_are_no_match(spark):
     assert [r.doc_id for r in got.collect()] == [1]
 
 
+def test_slot_heavy_items_merged_values_and_line_starts(spark):
+    items = [(1, "Sort 9 4 7 1 3 8 2 6"), (2, "What is 12 + 30? Show all the steps of the sum"), (3, "12 45 9 88"), (4, "Describe the long way from the mill to the river bank")]
+    docs = [
+        (1, "Today we do this:\nSort 9 4 7 1 3 8 2 6\nand so on"), (2, "then What is 15 + 15? Show all the steps of the sum"), (3, "the row 12 45 9 88 ends"), (4, "Sort 9 4 7 6 3 8 2 1"),
+        (5, "no stop before\nDescribe the long way from the mill to the river bank"), (6, "the row 12 45 9 87 ends"), (7, "a line\nWhat is 15 + 15? Show all the steps of the sum"),
+    ]
+    for sent in (2_000_000, 1):
+        got = decontaminate.contaminated(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"), sent_hashes=sent)
+        assert {(1, 1), (7, 2), (3, 3), (5, 4)} <= {(r.doc_id, r.item_id) for r in got.collect()} <= {(1, 1), (2, 2), (7, 2), (3, 3), (5, 4)}
+
+
 # 6: personal data
 
 
