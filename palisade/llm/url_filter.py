@@ -1,6 +1,6 @@
 """URL filters: listed host/path rules first, then association rules mined by Spark's FP-growth; native DataFrame operations only.
 
-A labelled URL is a transaction of its tokens (top domain, registered domain, host, first path part, path shape, extension, query
+A labelled URL is a transaction of its tokens (top domain, last two labels, first label of a longer host, first path part, path shape, query
 keys) and of the item `label=block` where its label says so. FP-growth finds the frequent item sets; a set of at most
 `MAX_TOKENS` tokens is a rule when, together with the label, it reaches the support and, relative to the set alone, the
 confidence. A rule that is no more confident than a rule over part of its tokens is pruned.
