@@ -12,8 +12,10 @@ from palisade.llm.mixing import BUDGET_PERCENT, DOMAIN_WEIGHTS, EPOCHS, LANGUAGE
 from palisade.llm.ngram_join import jaccard_components
 from palisade.llm.nn_descent import nearest_neighbours
 from palisade.llm.pii import pii_report
+from palisade.llm.spelling import spelling_variants
 from palisade.llm.suffix_dedup import remove_repeats
 from palisade.llm.toxicity import held_out, score_documents, toxicity_model
+from palisade.llm.turn_repair import repair_damaged
 from palisade.llm.url_filter import CONFIDENCE, RULES, SUPPORT, judge_urls
 from palisade.llm.warc import archive_round_trip
 from palisade.sources.tables import table
@@ -159,3 +161,13 @@ SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN mined
 def op10(spark, folder):
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), F.expr("toxic = 1 or quality = 0").alias("blocked"))
     return judge_urls(table(spark, folder, "pages"), labels)
+
+
+@query("op11_spelling_variants")
+def op11(spark, folder):
+    return spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12(spark, folder):
+    return repair_damaged(table(spark, folder, "conversations"))
