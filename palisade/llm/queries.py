@@ -12,6 +12,8 @@ from palisade.llm.mixing import BUDGET_PERCENT, DOMAIN_WEIGHTS, EPOCHS, LANGUAGE
 from palisade.llm.ngram_join import jaccard_components
 from palisade.llm.nn_descent import nearest_neighbours
 from palisade.llm.pii import pii_report
+from palisade.llm.quality import quality_model
+from palisade.llm.quality import score_documents as score_quality
 from palisade.llm.spelling import spelling_variants
 from palisade.llm.suffix_dedup import remove_repeats
 from palisade.llm.toxicity import held_out, score_documents, toxicity_model
@@ -171,3 +173,10 @@ def op11(spark, folder):
 @query("op12_conversation_repair")
 def op12(spark, folder):
     return repair_damaged(table(spark, folder, "conversations"))
+
+
+@query("op13_quality_classifier")
+def op13(spark, folder):
+    docs = table(spark, folder, "documents")
+    scored = score_quality(docs, quality_model(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -22,7 +22,7 @@ def test_against_check_query(spark, key):
 
 
 def test_every_operator_is_registered():
-    assert {int(re.match(r"op(\d+)_", k)[1]) for k in JOBS} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", k)[1]) for k in JOBS} == set(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "pii", "mixing_sources"]
 
 
