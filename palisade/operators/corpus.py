@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators.scan import top_per_key, turn_bucket, union_all
+from palisade.sources.tables import stored
 
 CASE_SCHEMA = (
     "id string, tags array<string>, messages array<struct<speaker:string,text:string,turn:bigint>>, "
@@ -132,6 +133,24 @@ def dialogue_history(messages: DataFrame, draft: str | None = None) -> DataFrame
     return lines.select("conv_id", F.size("l").cast("bigint").alias("n_lines"), text.alias("history"))
 
 
-def merge_run_history(history: DataFrame, run: DataFrame, key: str = "commit_id", order: str = "run_ms") -> DataFrame:
-    """Replace the stored run with the same key, keep the others."""
-    return union_all([history.join(run.select(key), key, "left_anti"), run]).orderBy(order, key)
+HISTORY_PARTS = 32
+
+
+def upsert_runs(run: DataFrame, path: str, key: str = "commit_id", order: str = "run_ms") -> None:
+    """Write runs into the history at `path`: a run replaces the stored one with the same key, the others stay.
+
+    The history is a folder of HISTORY_PARTS partitions by a hash of the key. Only partitions that hold a key of `run` are read and overwritten, each as
+    a whole when the job commits, so writing the same run again, or a job that is run anew, changes nothing. Of several rows of one key in `run`
+    the latest counts.
+    """
+    spark = run.sparkSession
+    rest = [c for c in run.columns if c not in (key, order)]
+    latest = run.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("_s")).select(key, f"_s.{order}", *[f"_s.{c}" for c in rest])
+    new = latest.withColumn("part", F.pmod(F.crc32(F.col(key).cast("string")), F.lit(HISTORY_PARTS)).cast("int")).select(*run.columns, "part")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        new = stored(new)
+        touched = [r[0] for r in new.select("part").distinct().collect()]  # at most HISTORY_PARTS numbers
+        old = spark.read.schema(new.schema).parquet(path).filter(F.col("part").isin(touched))
+        new = stored(union_all([old.join(new.select(key), key, "left_anti").select(*new.columns), new]))
+    new.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)

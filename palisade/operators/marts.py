@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palisade.sources.tables import stored
+
 ABSTAIN = "ABSTAIN"
 
 
@@ -85,7 +87,10 @@ def abstention_metrics(runs: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "expected", "decision", F.explode(F.array_distinct(F.array("expected", "decision"))).alias("label")
     ).filter(F.col("label") != ABSTAIN)
     per = sides.groupBy(*keys, "label").agg(*_counts(F.col("expected") == F.col("label"), F.col("decision") == F.col("label"))[:3])
-    macro = _scores(per).groupBy(*keys).agg(F.round(F.avg("f1"), 6).alias("macro_f1"))
+    # Whole numbers of 10^-12 are added and divided, so neither the order of additions nor a second rounding decides the last digit.
+    part = F.expr("div(cast(2 * tp as decimal(20,0)) * cast(1000000000000 as decimal(13,0)), cast(2 * tp + fp + fn as decimal(20,0)))")
+    sums = per.groupBy(*keys).agg(F.sum(part).alias("s"), F.count("*").alias("k"))
+    macro = sums.select(*keys, (F.expr("div(div(s, k) + 500000, 1000000)") / 1_000_000).alias("macro_f1"))
     return (
         base.join(macro, keys)
         .withColumn("coverage", ratio(F.col("covered"), F.col("n")))
@@ -173,19 +178,35 @@ def paired_robustness(preds: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+RANKS = {
+    "median": lambda n: F.floor(n * 0.5) + 1,
+    "p95_element": lambda n: F.floor(n * 0.95) + 1,
+    "p95_nearest": lambda n: F.ceil(n * 0.95),
+}
+
+
+def select_ranks(runs: DataFrame, key: str, value: str, ranks: dict) -> DataFrame:
+    """Per key the number of rows n and, for each of `ranks` (name -> rank as a function of n), the value at that rank. Null values don't count.
+
+    Exact selection: values are counted, then dealt by range of (key, value), so every range holds neighbouring values and is one task. Counts per
+    range tell in which range a rank lies; only rows of those ranges are ordered.
+    """
+    counted = runs.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    dealt = stored(counted.repartitionByRange(key, value).withColumn("range", F.spark_partition_id()))
+    per_range = dealt.groupBy(key, "range").agg(F.sum("c").alias("c"))
+    before = W.partitionBy(key).orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # one row per range of a key
+    spans = per_range.withColumn("lo", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumn("n", F.sum("c").over(W.partitionBy(key)))
+    wanted = spans.select(key, "range", "lo", "c", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r(F.col("n")).cast("bigint").alias("rank")) for k, r in ranks.items()])).alias("w"))
+    wanted = wanted.filter((F.col("w.rank") > F.col("lo")) & (F.col("w.rank") <= F.col("lo") + F.col("c"))).select(key, "range", "lo", "n", "w.*")
+    inside = dealt.join(wanted.select(key, "range").distinct(), [key, "range"], "left_semi")
+    placed = inside.withColumn("hi", F.sum("c").over(W.partitionBy(key, "range").orderBy(value)))
+    found = placed.join(wanted, [key, "range"]).filter((F.col("lo") + F.col("hi") >= F.col("rank")) & (F.col("lo") + F.col("hi") - F.col("c") < F.col("rank")))
+    return found.groupBy(key).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == k, F.col(value))).alias(k) for k in ranks])
+
+
 def latency_percentiles(runs: DataFrame, key: str, value: str) -> DataFrame:
-    """Median and both p95 definitions, exact by rank: values are counted first, so repeated values shrink."""
-    per_value = runs.groupBy(key, value).agg(F.count("*").alias("c"))
-    up_to = W.partitionBy(key).orderBy(value)
-    ranked = per_value.withColumn("hi", F.sum("c").over(up_to)).withColumn("n", F.sum("c").over(W.partitionBy(key)))
-    at = lambda rank: F.min(F.when(F.col("hi") >= rank, F.col(value)))
-    n = F.col("n")
-    return ranked.groupBy(key).agg(
-        F.max("n").alias("n"),
-        at(F.floor(n * 0.5) + 1).alias("median"),
-        at(F.floor(n * 0.95) + 1).alias("p95_element"),
-        at(F.ceil(n * 0.95)).alias("p95_nearest"),
-    )
+    """Median and both p95 definitions, exact by rank."""
+    return select_ranks(runs, key, value, RANKS)
 
 
 def variant_summary(runs: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ def recency(age_ms: Column) -> Column:
 
 def with_context(messages: DataFrame, payload: list[str], direction: str = "inbound", chunk: int = CHUNK,
                  turns: int = 4096) -> DataFrame:
-    """Add ``ctx``: the last 30 messages of one direction up to each row, younger than 15 minutes.
+    """Add ``ctx``: those of the last 30 messages of one direction up to each row that are younger than 15 minutes by the
+    clock of the row; a message stamped later than the row (a clock that ran back) does not count.
 
     Messages of that direction are numbered per conversation; chunks of the numbering (plus the 29 rows before each)
     are handled apart, so a very long conversation spreads over many tasks.
@@ -40,7 +41,8 @@ def with_context(messages: DataFrame, payload: list[str], direction: str = "inbo
     others = numbered.filter(F.col("direction") != direction).join(
         held.select("conv_id", "_seq", "ctx"), ["conv_id", "_seq"], "left"
     )
-    fresh = F.filter(F.coalesce("ctx", F.array()), lambda x: F.col("ts_ms") - x["ts_ms"] < I.SESSION_MS)
+    age = lambda x: F.col("ts_ms") - x["ts_ms"]
+    fresh = F.filter(F.coalesce("ctx", F.array()), lambda x: (age(x) >= 0) & (age(x) < I.SESSION_MS))
     return held.unionByName(others.select(*held.columns)).withColumn("ctx", fresh).drop("_seq")
 
 

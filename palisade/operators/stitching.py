@@ -39,15 +39,19 @@ def tainted_context(events: DataFrame, shift_ms: int = 0) -> DataFrame:
     )
 
 
-def context_lineage(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """Contexts handed from parent to child within the TTL of each hop, over as many hops as there are.
+def context_lineage(roots: DataFrame, edges: DataFrame, clears: DataFrame) -> DataFrame:
+    """Contexts handed from parent to child within the TTL of each hop, over as many hops as there are, until their session is cleared.
 
-    roots: subject, ts_ms, session_id, scenario; edges: parent, child, ts_ms. A sabotage context is not handed on,
-    nor a subject to itself; the child's clock starts at the edge. Each hop is one equi-join of the rows that are new,
-    stored; it ends when a hop brings nothing new, also where edges of one moment form a ring.
+    roots: subject, ts_ms, session_id, scenario; edges: parent, child, ts_ms; clears: session_id, ts_ms. A sabotage context is not handed on,
+    nor a subject to itself; the child's clock starts at the edge. The first clear at or after the root withdraws every context of its session,
+    wherever it was handed: it ends there (`until_ms`, `withdrawn` if that is before its TTL) and is not handed on from then. Each hop is one
+    equi-join of the rows that are new, stored; it ends when a hop brings nothing new, also where edges of one moment form a ring.
     """
-    columns = ["subject", "ts_ms", "session_id", "scenario"]
-    level = known = stored(roots.select(*columns).distinct())
+    columns = ["subject", "ts_ms", "session_id", "scenario", "cleared_ms"]
+    started = roots.select("subject", "ts_ms", "session_id", "scenario").distinct()
+    ends = started.join(clears.select("session_id", F.col("ts_ms").alias("at")), "session_id").filter(F.col("at") >= F.col("ts_ms"))
+    ends = ends.groupBy("session_id", "ts_ms").agg(F.min("at").alias("cleared_ms"))
+    level = known = stored(started.join(ends, ["session_id", "ts_ms"], "left").select(*columns))
     while not level.isEmpty():
         e, l = edges.alias("e"), level.alias("l")
         handed = (
@@ -55,13 +59,17 @@ def context_lineage(roots: DataFrame, edges: DataFrame) -> DataFrame:
             .filter(
                 (F.col("l.scenario") != "SABOTAGE") & (F.col("e.parent") != F.col("e.child"))
                 & (F.col("e.ts_ms") >= F.col("l.ts_ms")) & (F.col("e.ts_ms") - F.col("l.ts_ms") <= TTL_MS)
+                & (F.col("l.cleared_ms").isNull() | (F.col("e.ts_ms") < F.col("l.cleared_ms")))
             )
-            .select(F.col("e.child").alias("subject"), F.col("e.ts_ms"), "l.session_id", "l.scenario")
+            .select(F.col("e.child").alias("subject"), F.col("e.ts_ms"), "l.session_id", "l.scenario", "l.cleared_ms")
             .distinct()
         )
-        level = stored(handed.join(known, columns, "left_anti"))
+        level = stored(handed.join(known, ["subject", "ts_ms", "session_id", "scenario"], "left_anti"))
         known = known.unionByName(level)
-    return known
+    expires = F.col("ts_ms") + TTL_MS
+    return known.select(
+        "subject", "ts_ms", "session_id", "scenario", F.least(expires, "cleared_ms").alias("until_ms"), F.coalesce(F.col("cleared_ms") <= expires, F.lit(False)).alias("withdrawn")
+    )
 
 
 def verdict_problem() -> Column:
@@ -79,38 +87,32 @@ def verdict_problem() -> Column:
 def verdict_reuse(checks: DataFrame, ttl_ms: int = 300_000) -> DataFrame:
     """Checks that could reuse an earlier verdict on exactly the same evidence within five minutes.
 
-    checks: evidence (text), check_id, ts_ms. Reuse does not extend the life of the stored verdict: the first check
-    after an expiry stores a new one. A key is walked in time order with one anchor per key as state; keys are cut
-    where a gap of more than the TTL lies between neighbours, so a chain ends there whatever came before.
+    checks: evidence (text), check_id, ts_ms. Reuse does not extend the life of the stored verdict: the first check after an expiry stores a new
+    one. Which checks store one is found by pointer doubling: every moment of a key points to its first moment after the expiry; a moment
+    with nothing in the TTL before it stores a verdict for certain; from those, pointers of 1, 2, 4, ... steps reach all others in as many
+    rounds as the longest chain has binary digits. No key or chain is walked in one task.
     """
     keyed = checks.withColumn("key", F.sha2("evidence", 256)).select("key", "check_id", "ts_ms")
-    bucket = F.floor(F.col("ts_ms") / 86_400_000)
-    prev = running(keyed, ["key"], ["ts_ms", "check_id"], bucket, {"prev": ("last", F.col("ts_ms"), False)})
-    starts = prev.withColumn("_s", (F.col("prev").isNull() | (F.col("ts_ms") - F.col("prev") >= ttl_ms)).cast("long"))
-    chains = running(starts, ["key"], ["ts_ms", "check_id"], bucket, {"chain": ("sum", F.col("_s"), True)})
-
-    def walk(batches):
-        import pandas as pd
-
-        # Rows arrive sorted by key, chain and time; the state is one anchor.
-        last, anchor = None, None
-        for pdf in batches:
-            out = []
-            for key, chain, ts in zip(pdf["key"], pdf["chain"], pdf["ts_ms"]):
-                if (key, chain) != last or ts - anchor >= ttl_ms:
-                    last, anchor = (key, chain), ts
-                    out.append((anchor, False))
-                else:
-                    out.append((anchor, True))
-            pdf = pdf[["key", "check_id", "ts_ms"]].copy()
-            pdf["anchor_ms"] = [a for a, _ in out]
-            pdf["reused"] = [r for _, r in out]
-            yield pdf
-
-    laid = chains.select("key", "chain", "check_id", "ts_ms").repartition("key", "chain").sortWithinPartitions(
-        "key", "chain", "ts_ms", "check_id"
+    day = lambda c: F.floor(F.col(c) / 86_400_000)
+    moments = stored(keyed.groupBy("key", "ts_ms").agg(F.min("check_id").alias("first_id")))
+    prev = running(moments, ["key"], ["ts_ms"], day("ts_ms"), {"prev": ("last", F.col("ts_ms"), False)})
+    reached = stored(prev.filter(F.col("prev").isNull() | (F.col("ts_ms") - F.col("prev") >= ttl_ms)).select("key", "ts_ms"))
+    # Seen backwards in time, the last moment before a question put at ts + ttl is the first one at or after it.
+    asked = moments.select("key", "ts_ms", (-F.col("ts_ms") - ttl_ms).alias("neg"), F.lit(1).alias("kind"))
+    known = moments.select("key", "ts_ms", (-F.col("ts_ms")).alias("neg"), F.lit(0).alias("kind"))
+    seen = running(known.unionByName(asked), ["key"], ["neg", "kind", "ts_ms"], day("neg"), {"dst": ("last", F.when(F.col("kind") == 0, F.col("ts_ms")), True)})
+    links = seen.filter((F.col("kind") == 1) & F.col("dst").isNotNull()).select("key", F.col("ts_ms").alias("src"), "dst")
+    jump = stored(links.join(reached.withColumnRenamed("ts_ms", "dst"), ["key", "dst"], "left_anti").select("key", "src", "dst"))
+    while not jump.isEmpty():
+        more = reached.join(jump.withColumnRenamed("src", "ts_ms"), ["key", "ts_ms"]).select("key", F.col("dst").alias("ts_ms"))
+        reached = stored(reached.unionByName(more).distinct())
+        on = jump.select("key", F.col("src").alias("dst"), F.col("dst").alias("end"))
+        jump = stored(jump.join(on, ["key", "dst"]).select("key", "src", F.col("end").alias("dst")))
+    marked = moments.join(reached.withColumn("stores", F.col("ts_ms")), ["key", "ts_ms"], "left")
+    anchors = running(marked, ["key"], ["ts_ms"], day("ts_ms"), {"anchor_ms": ("last", F.col("stores"), True)})
+    return keyed.join(anchors.select("key", "ts_ms", "anchor_ms", "first_id"), ["key", "ts_ms"]).select(
+        "key", "check_id", "ts_ms", "anchor_ms", (~((F.col("ts_ms") == F.col("anchor_ms")) & (F.col("check_id") == F.col("first_id")))).alias("reused")
     )
-    return laid.mapInPandas(walk, "key string, check_id long, ts_ms long, anchor_ms long, reused boolean")
 
 
 def session_quarantine(verdicts: DataFrame) -> DataFrame:
@@ -176,13 +178,12 @@ def session_peak_risk(scores: DataFrame) -> DataFrame:
 def rolling_usage(log: DataFrame, ceiling: int) -> DataFrame:
     """log: request_id, ts_ms, tokens. Tokens of the last minute, gap to the request before, rows over a ceiling.
 
-    The log is cut into hours; every hour also gets the last minute of the one before it.
+    The log is cut into minutes; every minute also gets the rows of the one before it.
     """
-    hour = F.floor(F.col("ts_ms") / 3_600_000)
-    late = F.col("ts_ms") % 3_600_000 >= 3_540_000
-    cut = log.withColumn("_h", F.explode(F.when(late, F.array(hour, hour + 1)).otherwise(F.array(hour))))
+    minute = F.floor(F.col("ts_ms") / 60_000)
+    cut = log.withColumn("_h", F.explode(F.array(minute, minute + 1)))
     w = W.partitionBy("_h").orderBy("ts_ms")
-    summed = cut.withColumn("minute_tokens", F.sum("tokens").over(w.rangeBetween(-60_000, 0))).filter(F.col("_h") == hour)
+    summed = cut.withColumn("minute_tokens", F.sum("tokens").over(w.rangeBetween(-60_000, 0))).filter(F.col("_h") == minute)
     keyed = summed.withColumn("_all", F.lit(1))
     gap = running(keyed, ["_all"], ["ts_ms", "request_id"], F.col("_h"), {"_prev": ("last", F.col("ts_ms"), False)})
     return gap.select(
@@ -203,25 +204,42 @@ TYPE_WORDS = [
 ]
 
 
+# The keys under which replies state a field, and where in a reply its object may lie.
+REPLY_KEYS = {"flag": ["isScam", "is_scam", "scam", "fraud"], "conf": ["confidence", "score", "probability"], "kind": ["scamType", "scam_type"]}
+REPLY_PLACES = ["$", "$[0]", "$.result", "$.verdict", "$[0].result"]
+
+
 def repair_replies(replies: DataFrame) -> DataFrame:
-    """replies: reply_id, body. Well-formed JSON is read as such; otherwise fields are picked out by pattern."""
-    body = F.lower("body")
-    key = lambda names: F.regexp_extract(body, rf'"(?:{names})"\s*:\s*"?([a-z0-9_.%]+)', 1)
-    flag, conf = key("isscam|is_scam|scam|fraud"), key("confidence|score|probability")
-    number = F.try_to_number(F.regexp_replace(conf, "%", ""), F.lit("9999"))
-    rows = replies.select("reply_id", "body", flag.alias("f"), conf.alias("c"), number.cast("double").alias("num"))
-    words = F.lower("body").rlike(SCAM_WORDS)
+    """replies: reply_id, body. Well-formed JSON is read as such, whatever its shape; otherwise fields are picked out by pattern.
+
+    The body may be an object, an array of one, an object that nests it, a JSON string that holds an escaped object, or text around one (the
+    stretch from its first to its last bracket is tried). A field is looked for by its names in the places in order; a stated flag stands, without
+    one the words of the body decide. Values keep their case until they are compared.
+    """
+    whole = F.try_parse_json("body")
+    inner = F.try_parse_json(F.try_variant_get(whole, "$", "string"))
+    cut = F.try_parse_json(F.nullif(F.regexp_extract("body", r"(?s)([\[{].*[\]}])", 1), F.lit("")))
+    shaped = lambda v: F.when(F.substring(F.schema_of_variant(v), 1, 5).isin("OBJEC", "ARRAY"), v)
+    rows = replies.select("reply_id", F.lower("body").alias("body"), whole.alias("whole"), inner.alias("inner"), cut.alias("cut"))
+    rows = rows.select("reply_id", "body", F.coalesce(shaped(F.col("whole")), shaped(F.col("inner")), shaped(F.col("cut"))).alias("json"))
+    field = lambda name: F.coalesce(*[F.try_variant_get("json", f"{place}.{key}", "string") for place in REPLY_PLACES for key in REPLY_KEYS[name]])
+    picked = lambda name: F.nullif(F.regexp_extract("body", rf'"(?:{"|".join(REPLY_KEYS[name]).lower()})"\s*:\s*"?([a-z0-9_.%]+)', 1), F.lit(""))
+    stated = rows.select(
+        "reply_id", "body", F.col("json").isNotNull().alias("is_json"), field("kind").alias("kind"),
+        F.lower(F.trim(F.coalesce(field("flag"), picked("flag")))).alias("f"), F.lower(F.trim(F.coalesce(field("conf"), picked("conf")))).alias("c"),
+    ).withColumn("num", F.replace("c", F.lit("%"), F.lit("")).try_cast("double"))
+    words = F.col("body").rlike(SCAM_WORDS)
     is_scam = F.when(F.col("f").isin("true", "yes", "1"), True).when(F.col("f").isin("false", "no", "0"), False)
-    # A stated flag stands; without one the words decide.
     scam = F.coalesce(is_scam, words)
     confidence = F.coalesce(
         "num", *[F.when(F.col("c") == w, v) for w, v in CONFIDENCE_WORDS.items()], F.when(scam, 90.0).otherwise(15.0)
     )
     intent = F.lit(None).cast("string")
     for name, pattern in reversed(TYPE_WORDS):
-        intent = F.when(F.lower("body").rlike(pattern), name).otherwise(intent)
-    return rows.select(
+        intent = F.when(F.col("body").rlike(pattern), name).otherwise(intent)
+    named = F.when(F.upper("kind").isin(*THREAT_TYPES), F.upper("kind"))
+    return stated.select(
         "reply_id", scam.alias("is_scam"), F.least(F.greatest(confidence, F.lit(0.0)), F.lit(100.0)).alias("confidence"),
-        F.when(scam, F.coalesce(intent, F.lit("UNKNOWN"))).alias("scam_type"),
+        F.when(scam, F.coalesce(named, intent, F.lit("UNKNOWN"))).alias("scam_type"), "is_json",
         (is_scam.isNull() & ~words & F.col("num").isNull()).alias("rejected"),
     )

@@ -1,4 +1,4 @@
-from palisade.dims.phrases import CYCLE, EPOCH_MS, GAPS_MS, PHRASES
+from palisade.dims.phrases import AHEAD_MS, CYCLE, EPOCH_MS, FUTURE, GAPS_MS, PHRASES
 from palisade.oracle.sql import cte, values
 
 cte("q_phrases", values(PHRASES, "k, lang, kind, phrase, truth_type, truth_assessment"))
@@ -7,7 +7,7 @@ cte(
     f"""
 SELECT conv_id, turn,
   {EPOCH_MS} + conv_id * 3600000 + turn * (CASE conv_id % 4 WHEN 0 THEN {GAPS_MS[0]} WHEN 1 THEN {GAPS_MS[1]}
-    WHEN 2 THEN {GAPS_MS[2]} ELSE {GAPS_MS[3]} END) AS ts_ms,
+    WHEN 2 THEN {GAPS_MS[2]} ELSE {GAPS_MS[3]} END) + CASE WHEN {FUTURE} THEN {AHEAD_MS} ELSE 0 END AS ts_ms,
   CASE role WHEN 'user' THEN 'outbound' ELSE 'inbound' END AS direction,
   CASE WHEN p.phrase IS NULL THEN c.text WHEN conv_id % 2 = 0 THEN p.phrase ELSE c.text || '. ' || p.phrase END AS text,
   p.truth_type, coalesce(p.truth_assessment, 'safe') AS truth_assessment

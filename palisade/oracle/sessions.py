@@ -22,12 +22,12 @@ cte(
     """SELECT m.conv_id, m.turn, m.ts_ms, m.direction, c.turn AS ctx_turn, c.ts_ms AS ctx_ms, c.text AS ctx_text,
   pow(2.0, -greatest(0, m.ts_ms - c.ts_ms - 60000) / 300000) AS r
 FROM q_seq m JOIN q_seq c ON c.conv_id = m.conv_id AND c.direction = 'inbound' AND c.turn <= m.turn AND c.in_seq > m.in_seq - 30
-  AND m.ts_ms - c.ts_ms < 900000""",
+  AND m.ts_ms - c.ts_ms BETWEEN 0 AND 899999""",
 )
 cte(
     "q_out_context",
     """SELECT m.conv_id, m.turn, c.turn AS ctx_turn FROM q_seq m JOIN q_seq c ON c.conv_id = m.conv_id AND c.direction = 'outbound'
-  AND c.turn <= m.turn AND c.out_seq > m.out_seq - 30 AND m.ts_ms - c.ts_ms < 900000""",
+  AND c.turn <= m.turn AND c.out_seq > m.out_seq - 30 AND m.ts_ms - c.ts_ms BETWEEN 0 AND 899999""",
 )
 cte(
     "q_decayed",

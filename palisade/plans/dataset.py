@@ -52,8 +52,8 @@ def canonical_text(spark, folder):
 
 @query(
     "shadow_context",
-    """SELECT m.conv_id, m.turn, count(*) AS n_context, min(c.turn) AS first_turn FROM q_seq m JOIN q_seq c ON c.conv_id = m.conv_id AND c.direction = 'inbound' AND c.turn <= m.turn
-  AND c.in_seq > m.in_seq - 4 AND m.ts_ms - c.ts_ms <= 60000 WHERE m.direction = 'inbound' GROUP BY ALL""",
+    """SELECT conv_id, turn, count(*) AS n_context, min(ctx_turn) AS first_turn FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY ctx_turn DESC) AS k FROM q_context WHERE direction = 'inbound') WHERE k <= 4 AND ts_ms - ctx_ms <= 60000 GROUP BY ALL""",
 )
 def shadow_context(spark, folder):
     from palisade.operators.sessions import with_context

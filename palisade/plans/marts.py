@@ -1,5 +1,7 @@
 """Queries over evaluation marts, stitching, external verdicts and run logs."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palisade.operators import corpus as C
@@ -10,6 +12,7 @@ from palisade.oracle import scored as _o  # noqa: F401
 from palisade.oracle.sql import cte, lit
 from palisade.plans.registry import query
 from palisade.plans.sessions import single_verdicts
+from palisade.session import shared_folder
 from palisade.sources import scored as S
 from palisade.sources.planted import messages
 
@@ -55,7 +58,7 @@ SELECT {bk}, n, covered, exact, round(covered / n, 6) AS coverage, round(exact /
   SELECT {keys}, count(*) AS n, count(*) FILTER (WHERE decision <> 'ABSTAIN') AS covered, count(*) FILTER (WHERE decision = expected) AS exact,
     count(*) FILTER (WHERE expected <> 'SAFE') AS threats, count(*) FILTER (WHERE expected <> 'SAFE' AND decision NOT IN ('SAFE', 'ABSTAIN')) AS caught
   FROM {source} WHERE expected <> 'AMBIGUOUS' GROUP BY ALL) b
-JOIN (SELECT {keys}, round(avg(f1), 6) AS macro_f1 FROM (SELECT {keys}, label, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM (
+JOIN (SELECT {keys}, ((sum(f1) // count(*) + 500000) // 1000000) / 1000000 AS macro_f1 FROM (SELECT {keys}, label, CAST(2 * tp AS HUGEINT) * 1000000000000 // (2 * tp + fp + fn) AS f1 FROM (
   SELECT {keys}, label, count(*) FILTER (WHERE expected = label AND decision = label) AS tp, count(*) FILTER (WHERE expected <> label AND decision = label) AS fp,
     count(*) FILTER (WHERE expected = label AND decision <> label) AS fn
   FROM {source}, (SELECT DISTINCT unnest([expected, decision]) AS label FROM {source} WHERE expected <> 'AMBIGUOUS') WHERE expected <> 'AMBIGUOUS' AND label <> 'ABSTAIN' GROUP BY ALL)
@@ -264,7 +267,11 @@ def history_segments(spark, folder):
 def append_run_history(spark, folder):
     h = history(spark, folder).select(F.concat_ws("-", "series", F.col("run_ms").cast("string")).alias("commit_id"), "run_ms", "metric", "series")
     new = h.filter("series = 'holdout' AND run_ms % 2 = 0").withColumn("run_ms", F.col("run_ms") + 1000)
-    return C.merge_run_history(h, new).select("commit_id", "run_ms", "metric")
+    kept = f"{shared_folder(spark)}/run-history-{uuid.uuid4().hex}"
+    C.upsert_runs(h, kept)
+    C.upsert_runs(new, kept)
+    C.upsert_runs(new, kept)  # the same run once more changes nothing
+    return spark.read.parquet(kept).select("commit_id", "run_ms", "metric")
 
 
 # ---- stitching ----------------------------------------------------------------------------------------------------
@@ -285,17 +292,23 @@ EDGES = """SELECT user_id AS parent, CASE WHEN event_id % 10 = 0 THEN user_id EL
 ROOTS = """SELECT user_id AS subject, ts_ms, event_id AS session_id, scenario FROM {lures} WHERE what = 'lure'"""
 
 
+# Planted: every fourth session is cleared some minutes after its lure, some of them twice, some also before it.
+CLEARS = """SELECT event_id AS session_id, ts_ms + (event_id % 7 - 1) * 120000 + again * 200000 AS ts_ms FROM {lures} CROSS JOIN (SELECT * FROM (VALUES (0), (1)) AS t(again))
+WHERE what = 'lure' AND event_id % 4 = 1 AND again <= event_id % 3"""
+
+
 @query(
     "context_lineage",
-    f"""WITH RECURSIVE edges AS ({EDGES.format(lures='q_lures')}), walk AS (
-  SELECT subject, ts_ms, session_id, scenario FROM ({ROOTS.format(lures='q_lures')})
-  UNION SELECT e.child, e.ts_ms, w.session_id, w.scenario FROM walk w JOIN edges e ON e.parent = w.subject
-  WHERE w.scenario <> 'SABOTAGE' AND e.parent <> e.child AND e.ts_ms >= w.ts_ms AND e.ts_ms - w.ts_ms <= 900000)
-SELECT * FROM walk""",
+    f"""WITH RECURSIVE edges AS MATERIALIZED ({EDGES.format(lures='q_lures')}), clears AS MATERIALIZED ({CLEARS.format(lures='q_lures')}), walk AS (
+  SELECT subject, ts_ms, session_id, scenario, (SELECT min(c.ts_ms) FROM clears c WHERE c.session_id = r.session_id AND c.ts_ms >= r.ts_ms) AS cleared_ms FROM ({ROOTS.format(lures='q_lures')}) r
+  UNION SELECT e.child, e.ts_ms, w.session_id, w.scenario, w.cleared_ms FROM walk w JOIN edges e ON e.parent = w.subject
+  WHERE w.scenario <> 'SABOTAGE' AND e.parent <> e.child AND e.ts_ms >= w.ts_ms AND e.ts_ms - w.ts_ms <= 900000 AND (w.cleared_ms IS NULL OR e.ts_ms < w.cleared_ms))
+SELECT subject, ts_ms, session_id, scenario, least(ts_ms + 900000, coalesce(cleared_ms, ts_ms + 900000)) AS until_ms, coalesce(cleared_ms <= ts_ms + 900000, FALSE) AS withdrawn FROM walk""",
 )
 def context_lineage(spark, folder):
     l = S.lures(spark, folder)
-    return X.context_lineage(spark.sql(ROOTS.format(lures="{l}"), l=l), spark.sql(EDGES.format(lures="{l}"), l=l))
+    part = lambda sql: spark.sql(sql.format(lures="{l}"), l=l)
+    return X.context_lineage(part(ROOTS), part(EDGES), part(CLEARS))
 
 
 _PROBLEM = f"""CASE WHEN is_scam IS NULL THEN 'flag_missing' WHEN confidence IS NULL THEN 'confidence_missing'
@@ -312,7 +325,15 @@ def validate_external_verdicts(spark, folder):
 REUSE = """SELECT event_id AS check_id, {ms} AS ts_ms, concat(event_type, CAST(user_id % 3 AS {text})) AS evidence FROM {events}"""
 
 
-@query("verdict_reuse")
+@query(
+    "verdict_reuse",
+    f"""WITH RECURSIVE c AS MATERIALIZED (SELECT sha256(evidence) AS key, check_id, ts_ms FROM ({REUSE.format(ms="(epoch_us(ts) // 1000)", text="VARCHAR", events="events")})),
+d AS MATERIALIZED (SELECT key, ts_ms, min(check_id) AS first_id FROM c GROUP BY ALL),
+n AS MATERIALIZED (SELECT x.key, x.ts_ms, y.ts_ms AS next_ms FROM d x ASOF JOIN d y ON x.key = y.key AND x.ts_ms + 300000 <= y.ts_ms),
+a AS (SELECT key, min(ts_ms) AS ts_ms FROM d GROUP BY key UNION ALL SELECT n.key, n.next_ms FROM a JOIN n ON n.key = a.key AND n.ts_ms = a.ts_ms)
+SELECT c.key, c.check_id, c.ts_ms, m.anchor_ms, NOT (c.ts_ms = m.anchor_ms AND c.check_id = m.first_id) AS reused
+FROM c JOIN (SELECT d.key, d.ts_ms, d.first_id, a.ts_ms AS anchor_ms FROM d ASOF JOIN a ON d.key = a.key AND d.ts_ms >= a.ts_ms) m ON m.key = c.key AND m.ts_ms = c.ts_ms""",
+)
 def verdict_reuse(spark, folder):
     from palisade.sources.tables import table
 
@@ -386,24 +407,43 @@ def rolling_usage_audit(spark, folder):
     return X.rolling_usage(log, 1500)
 
 
-REPLIES = """SELECT concat(conv_id, '-', turn) AS reply_id, CASE (conv_id + turn) % 6
+REPLIES = """SELECT concat(conv_id, '-', turn) AS reply_id, CASE (conv_id + turn) % 11
   WHEN 0 THEN concat('{{"isScam": ', CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'false' END, ', "confidence": ', CAST((conv_id * 7) % 100 AS {text}), ', "reasoning": "asks for a card"}}')
   WHEN 1 THEN '{{"fraud": "yes", "score": "high", "why": "moves to telegram"}}'
   WHEN 2 THEN 'I think this is a scam: it wants the seed phrase'
   WHEN 3 THEN '{{"is_scam": false, "confidence": "low"}}'
-  WHEN 4 THEN 'hello' ELSE 'fine, "confidence": 30%' END AS body FROM {conversations}"""
+  WHEN 4 THEN 'hello' WHEN 5 THEN 'fine, "confidence": 30%'
+  WHEN 6 THEN concat('{{"id": "x', chr(92), '"isScam', chr(92), '": false", "result": {{"isScam": "Yes", "confidence": ', CAST(conv_id % 40 AS {text}), '.5, "scamType": "identity_probing"}}}}')
+  WHEN 7 THEN '[{{"scam": true, "probability": "120%", "scam_type": "Something", "reasoning": "card"}}, {{"scam": false}}]'
+  WHEN 8 THEN replace(concat('"{{~is_scam~: ', CASE WHEN turn % 2 = 0 THEN '1' ELSE '0' END, ', ~score~: ~medium~}}"'), '~', concat(chr(92), '"'))
+  WHEN 9 THEN concat('Here it is: ', chr(10), '{{"verdict": {{"fraud": "no", "confidence": 12}}, "note": "fraud?"}}', chr(10), 'Bye')
+  ELSE '{{"isScam": true, "confidence": 55, ' END AS body FROM {conversations}"""
+
+
+
+def _field(name: str) -> str:
+    return "coalesce(" + ", ".join(f"json_extract_string(j, '{place}.{key}')" for place in X.REPLY_PLACES for key in X.REPLY_KEYS[name]) + ")"
+
+
+def _picked(name: str) -> str:
+    return rf"""nullif(regexp_extract(b, '"(?:{"|".join(X.REPLY_KEYS[name]).lower()})"\s*:\s*"?([a-z0-9_.%]+)', 1), '')"""
+
+
+_JSON = "CASE WHEN json_valid({x}) AND json_type({x}) IN ('OBJECT', 'ARRAY') THEN {x} END"
 
 
 @query(
     "repair_external_verdicts",
-    f"""WITH r AS (SELECT reply_id, lower(body) AS b, regexp_extract(lower(body), '"(?:isscam|is_scam|scam|fraud)"\\s*:\\s*"?([a-z0-9_.%]+)', 1) AS f,
-  regexp_extract(lower(body), '"(?:confidence|score|probability)"\\s*:\\s*"?([a-z0-9_.%]+)', 1) AS c FROM ({REPLIES.format(text='VARCHAR', conversations='conversations')})),
+    rf"""WITH r0 AS (SELECT reply_id, body, lower(body) AS b, CASE WHEN json_valid(body) AND json_type(body) = 'VARCHAR' THEN json_extract_string(body, '$') END AS held,
+  nullif(regexp_extract(body, '(?s)([\[{{].*[\]}}])', 1), '') AS cut FROM ({REPLIES.format(text='VARCHAR', conversations='conversations')})),
+r AS (SELECT reply_id, b, coalesce({_JSON.format(x='body')}, {_JSON.format(x='held')}, {_JSON.format(x='cut')}) AS j FROM r0),
+p AS (SELECT reply_id, b, j IS NOT NULL AS is_json, upper({_field('kind')}) AS kind, lower(trim(coalesce({_field('flag')}, {_picked('flag')}))) AS f, lower(trim(coalesce({_field('conf')}, {_picked('conf')}))) AS c FROM r),
 s AS (SELECT *, CASE WHEN f IN ('true', 'yes', '1') THEN TRUE WHEN f IN ('false', 'no', '0') THEN FALSE END AS flag,
-  regexp_matches(b, {lit(X.SCAM_WORDS)}) AS words, TRY_CAST(replace(c, '%', '') AS DOUBLE) AS num FROM r)
+  regexp_matches(b, {lit(X.SCAM_WORDS)}) AS words, TRY_CAST(replace(c, '%', '') AS DOUBLE) AS num FROM p)
 SELECT reply_id, coalesce(flag, words) AS is_scam,
   least(greatest(coalesce(num, CASE c WHEN 'high' THEN 95 WHEN 'medium' THEN 70 WHEN 'low' THEN 25 END, CASE WHEN coalesce(flag, words) THEN 90 ELSE 15 END), 0), 100) AS confidence,
-  CASE WHEN coalesce(flag, words) THEN CASE {' '.join(f"WHEN regexp_matches(b, {lit(p)}) THEN '{n}'" for n, p in X.TYPE_WORDS)} ELSE 'UNKNOWN' END END AS scam_type,
-  flag IS NULL AND NOT words AND num IS NULL AS rejected FROM s""",
+  CASE WHEN coalesce(flag, words) THEN CASE WHEN kind IN ({', '.join(lit(t) for t in X.THREAT_TYPES)}) THEN kind {' '.join(f"WHEN regexp_matches(b, {lit(p)}) THEN '{n}'" for n, p in X.TYPE_WORDS)} ELSE 'UNKNOWN' END END AS scam_type,
+  is_json, flag IS NULL AND NOT words AND num IS NULL AS rejected FROM s""",
 )
 def repair_external_verdicts(spark, folder):
     from palisade.sources.tables import table

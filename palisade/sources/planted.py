@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.dims.phrases import CYCLE, EPOCH_MS, GAPS_MS, PHRASES
+from palisade.dims.phrases import AHEAD_MS, CYCLE, EPOCH_MS, FUTURE, GAPS_MS, PHRASES
 from palisade.sources.tables import spread, table
 
 
@@ -15,14 +15,19 @@ def phrase_bank(spark: SparkSession) -> DataFrame:
     )
 
 
+def sent_ms() -> Column:
+    """Time stamp of a turn; some are ahead of the clock."""
+    gap = F.element_at(F.array(*[F.lit(g) for g in GAPS_MS]), (F.col("conv_id") % 4 + 1).cast("int"))
+    return F.lit(EPOCH_MS) + F.col("conv_id") * 3_600_000 + F.col("turn") * gap + F.when(F.expr(FUTURE), AHEAD_MS).otherwise(0)
+
+
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """conv_id, turn, ts_ms, direction, text, truth_type, truth_assessment; one row per spoken turn."""
     conv = spread(table(spark, folder, "conversations"), "conv_id", "turn").filter(F.col("role").isin("user", "assistant"))
-    gap = F.element_at(F.array(*[F.lit(g) for g in GAPS_MS]), (F.col("conv_id") % 4 + 1).cast("int"))
     base = conv.select(
         "conv_id",
         "turn",
-        (F.lit(EPOCH_MS) + F.col("conv_id") * 3_600_000 + F.col("turn") * gap).alias("ts_ms"),
+        sent_ms().alias("ts_ms"),
         F.when(F.col("role") == "user", "outbound").otherwise("inbound").alias("direction"),
         F.col("text").alias("raw"),
         ((F.col("conv_id") * 7 + F.col("turn")) % CYCLE).cast("int").alias("k"),

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palisade.dims.phrases import CYCLE, EPOCH_MS, GAPS_MS
-from palisade.sources.planted import phrase_bank
+from palisade.dims.phrases import CYCLE
+from palisade.sources.planted import phrase_bank, sent_ms
 from palisade.session import shared_folder
 
 WINDOW_MS, KEEP = 900_000, 30
@@ -45,11 +45,6 @@ def time_ranged(rows: DataFrame, order: Column) -> str:
     return folder
 
 
-def sent_ms() -> Column:
-    gap = F.element_at(F.array(*[F.lit(g) for g in GAPS_MS]), (F.col("conv_id") % 4 + 1).cast("int"))
-    return F.lit(EPOCH_MS) + F.col("conv_id") * 3_600_000 + F.col("turn") * gap
-
-
 def stream_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return stream_table(spark, folder, "conversations", sent_ms())
 
