@@ -27,10 +27,10 @@ from palisade.llm.toxicity import held_out
 
 SAMPLE = 1500  # labelled documents of each class at most
 ROWS, WIDTH = 1 << 17, 12  # hashed rows of the table, numbers of a vector
-GRAMS = (2, 3, 4)
+GRAMS = (3, 4)
 EPOCHS, RATE = 6, 0.1
 CUT = 0.3  # predicted 1 from this score on
-BLOCK, HELD = 1_000_000, 200_000  # code points of a text handled at once; words a task remembers
+BLOCK, HELD = 1_000_000, 400_000  # code points of a text handled at once; words, and n-grams, a task remembers
 SEED = 20240613
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -39,11 +39,23 @@ def row_of(feature: bytes) -> int:
     return xxhash.xxh3_64_intdigest(feature) % ROWS
 
 
-def rows_of_word(word: str) -> list[int]:
-    """Rows of a word and of its character n-grams, the word's ends marked."""
+def grams_of(word: str) -> list[str]:
+    """Character n-grams of a word, its ends marked."""
     marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)} if len(word) <= 100 else {marked[:9], marked[-9:]}
-    return [row_of(b"w" + word.encode("utf-8", "replace")), *(row_of(b"g" + g.encode("utf-8", "replace")) for g in sorted(grams))]
+    return [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
+
+
+def word_row(word: str) -> int:
+    return row_of(b"w" + word.encode("utf-8", "replace"))
+
+
+def gram_row(gram: str) -> int:
+    return row_of(b"g" + gram.encode("utf-8", "replace"))
+
+
+def rows_of_word(word: str) -> list[int]:
+    """Rows of a word and of its character n-grams."""
+    return [word_row(word), *map(gram_row, grams_of(word))]
 
 
 SAME = row_of(b"pair of equal words")
@@ -84,7 +96,8 @@ def document_rows(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     n = counts.total()
     for word, count in counts.items():
         rows = rows_of_word(word)
-        np.add.at(total, rows, count / (len(rows) * n))
+        for row in rows:
+            total[row] += count / (len(rows) * n)
     total += pairs / max(1, n - 1)
     rows = np.flatnonzero(total)
     return rows.astype(np.int32), total[rows].astype(np.float32)
@@ -170,12 +183,26 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(docs, labels.filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label")))
 
 
-class WordParts(dict):
-    """word -> (number, its part); hashes and parts by number. Forgets all beyond HELD words."""
+class GramParts(dict):
+    """n-gram -> its part."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+
+    def __missing__(self, gram: str) -> float:
+        if len(self) >= HELD:
+            self.clear()
+        value = self[gram] = float(self.model.parts[gram_row(gram)])
+        return value
+
+
+class WordParts(dict):
+    """word -> number; hashes and parts by number. Forgets all beyond HELD words."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.grams = model, GramParts(model)
         self.hashes, self.parts = np.zeros(1024, np.uint64), np.zeros(1024)
 
     def __missing__(self, word: str) -> int:
@@ -183,7 +210,8 @@ class WordParts(dict):
         if n == len(self.parts):
             self.hashes, self.parts = np.resize(self.hashes, 2 * n), np.resize(self.parts, 2 * n)
         self.hashes[n] = word_hash(word)
-        self.parts[n] = self.model.parts[rows_of_word(word)].mean(dtype=np.float64)
+        grams = grams_of(word)
+        self.parts[n] = (float(self.model.parts[word_row(word)]) + sum(map(self.grams.__getitem__, grams))) / (1 + len(grams))
         return n
 
 
