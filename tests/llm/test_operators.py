@@ -201,7 +201,7 @@ def test_neighbours_recall_and_ties(spark):
     centres = rng.normal(size=(20, 16))
     vectors = (centres[rng.integers(0, 20, 1500)] + 0.5 * rng.normal(size=(1500, 16))).astype(np.float32)
     vectors[100:400] = vectors[100]  # a hot vector
-    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)] + [(1500, None, 1), (1600, [0.0] * 16, 1), (1700, [float("nan")] * 16, 1), (1800, [1.0], 1), (200, vectors[200].tolist(), 2)]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)] + [(1500, None, 1), (1600, [0.0] * 16, 1), (1700, [float("nan")] * 16, 1), (1801, [1.0], 1), (200, vectors[200].tolist(), 2)]
     got = nn_descent.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert {r.query_id for r in got} == set(range(0, 1500, 100))
     found = {}
@@ -219,33 +219,51 @@ def test_neighbours_recall_and_ties(spark):
     assert [a[1] for a in found[200]] == list(range(100, 110))
 
 
-def test_groups_of_neighbours_are_not_cut_at_random(spark, monkeypatch):
-    monkeypatch.setattr(nn_descent, "GROUP", 60)
-    monkeypatch.setattr(nn_descent, "PIVOTS", 8)
-    monkeypatch.setattr(nn_descent, "FLAT", 300)  # 600 pivots: two levels
-    rng = np.random.default_rng(2)
-    m = rng.normal(size=(3000, 12)).astype(np.float32)
-    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "node long, vec array<float>")
-    graph, pivots = nn_descent.build_graph(nodes, nn_descent.shared_dir(spark))
-    assert 450 < pivots.count() < 750
+def graph_recall(graph, m, k=20):
     found = {}
     for r in graph.collect():
         found.setdefault(r.src, set()).add(r.dst)
     right = 0
-    for i in range(0, 3000, 10):
+    for i in range(0, len(m), 10):
         d = ((m - m[i]) ** 2).sum(1)
         d[i] = np.inf
-        right += len(found[i] & set(np.argsort(d)[:20].tolist()))
-    assert right >= 0.9 * 20 * 300
+        right += len(found[i] & set(np.argsort(d)[:k].tolist()))
+    return right / (k * len(range(0, len(m), 10)))
 
 
-def test_pivots_over_two_levels_and_split_groups():
-    m = np.random.default_rng(3).normal(size=(5000, 8)).astype(np.float32)
-    flat, cells = (nn_descent.Pivots(np.arange(2000), m[:2000], n).near(m, 6) for n in (2000, 100))
-    sets = [set(zip(*(x.tolist() for x in p), strict=True)) for p in (flat, cells)]
-    assert len(sets[0]) == len(sets[1]) == 30000 and len(sets[0] & sets[1]) > 0.9 * 30000
-    edges = [set(zip(t.column("src").to_pylist(), t.column("dst").to_pylist(), strict=True)) for n in (5000, 600) for t in [nn_descent.pa.concat_tables(nn_descent._split_edges(np.arange(5000), m, 10, n))]]
-    assert len(edges[0]) == 50000 and len(edges[0] & edges[1]) > 0.8 * 50000
+def test_cells_are_split_until_small(spark, monkeypatch):
+    """Several levels of splits; no group passes the limit and the graph stays good."""
+    monkeypatch.setattr(nn_descent, "GROUP", 60)
+    monkeypatch.setattr(nn_descent, "PIVOTS", 40)
+    monkeypatch.setattr(nn_descent, "CHUNK", 500)
+    m = np.random.default_rng(2).normal(size=(3000, 12)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "node long, vec array<float>")
+    folder = nn_descent.shared_dir(spark)
+    groups = nn_descent.starting_groups(nodes, folder, 60)
+    sizes = [r["count"] for r in groups.groupBy("length", "cell").count().collect()]
+    assert max(sizes) <= 60 and len(sizes) > 100 and groups.select("node").distinct().count() == 3000
+    assert graph_recall(nn_descent.build_graph(nodes, folder), m) >= 0.9
+
+
+def test_cells_that_no_split_makes_smaller(spark, monkeypatch):
+    """All vectors but one equally far from each other and near the one: a split around nodes leaves a large cell."""
+    monkeypatch.setattr(nn_descent, "SPLITS", 2)
+    star = [[0.0] * 300] + [[float(i == j) for j in range(300)] for i in range(300)]
+    star[0][0] = 0.5
+    nodes = spark.createDataFrame(list(enumerate(star)), "node long, vec array<float>")
+    sizes = [r["count"] for r in nn_descent.starting_groups(nodes, nn_descent.shared_dir(spark), 50).groupBy("length", "cell").count().collect()]
+    assert max(sizes) < 301 and sum(sizes) >= 301
+
+
+def test_neighbours_in_double_precision_and_of_every_length(spark):
+    big = [(0, [16777217.0, 1.0]), (1, [16777216.0, 1.0]), (2, [16777219.5, 1.0]), (100, [1e10 + 1, 1e10]), (3, [1e10, 1e10])]
+    rows = [*big, (200, [3.0]), (4, [1.0]), (5, [7.5]), (300, [1.0, 2.0, 3.0]), (6, []), (7, [float("inf"), 1.0]), (400, None), (8, [None, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as node", "2 as dist", "'x' as rank")
+    got = {}
+    for r in nn_descent.nearest_neighbours(frame).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got[0])[:2] == [(1, 1, 1.0), (2, 2, 2.5)] and sorted(got[100])[0] == (1, 3, 1.0) and len(got[0]) == len(got[100]) == 4
+    assert sorted(got[200]) == [(1, 4, 2.0), (2, 5, 4.5)] and 300 not in got and 400 not in got
 
 
 def test_neighbours_of_few_and_none(spark):
