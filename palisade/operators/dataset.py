@@ -5,10 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.operators.scan import only, running, top_per_key, turn_bucket, union_all
+from palisade.operators.near_copies import components
+from palisade.operators.scan import running, top_per_key, turn_bucket
+from palisade.sources.tables import stored
 
 # Fixed values.
 LABELS = ["SAFE", "OFF_PLATFORM_REDIRECT", "VERIFICATION_PHISHING", "PAYMENT_CREDENTIAL_THEFT", "IDENTITY_PROBING",
@@ -16,6 +18,7 @@ LABELS = ["SAFE", "OFF_PLATFORM_REDIRECT", "VERIFICATION_PHISHING", "PAYMENT_CRE
 MAX_CHARS, MAX_EACH, MAX_MESSAGES = 4096, 2048, 4
 DIMENSIONS = 8192
 MIN_SCORE, MIN_MARGIN = 0.6, 0.15
+ABSTAIN = "ABSTAIN"
 
 
 def nfkc(c: Column) -> Column:
@@ -53,79 +56,32 @@ def bounded_context(messages: DataFrame) -> DataFrame:
 
 # ---- near duplicates ----------------------------------------------------------------------------------------------
 
-def grams4(c: Column) -> Column:
-    """Distinct character 4-grams; letters are read by position, so long texts cost linear time."""
-    given = F.array(F.struct(F.filter(F.split(c, ""), lambda x: x != "").alias("x")))
-    return F.transform(
-        given,
-        lambda g: F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(g["x"]) - 3)),
-                lambda i: F.concat(*[F.element_at(g["x"], i + k) for k in range(4)]),
-            )
-        ),
-    )[0]
-
-
-def near_duplicate_pairs(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """texts: id, canon. Pairs (a < b) with equal text or 4-gram Jaccard of at least the threshold.
-
-    Equal texts are folded into their smallest id first and come out as a star around it, not as all pairs. Among
-    distinct texts the exact prefix filter applies: with grams in one global order (rare first) and m = 1 + n / 10, two
-    texts that reach the threshold share at least the smaller m of grams among the first n - ceil(t n) + m of each.
-    Candidates are verified on the whole sets.
-    """
-    reps = texts.groupBy("canon").agg(F.min("id").alias("rep"))
-    star = texts.join(reps, "canon").filter(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    sets = reps.filter(F.length("canon") >= 4).select(F.col("rep").alias("id"), grams4(F.col("canon")).alias("g")).withColumn("n", F.size("g")).checkpoint()
-    long = sets.select("id", "n", F.explode("g").alias("gram"))
-    freq = long.groupBy("gram").agg(F.count("*").alias("df"))
-    # A gram of one text only can never be shared; it still counts for the position, so it stays in the order.
-    placed = long.join(freq, "gram")
-    ordered = placed.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("og"))
-    need = 1 + F.floor(F.col("n") / 10).cast("int")
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + need
-    prefix = ordered.select("id", "n", F.explode(F.slice("og", F.lit(1), keep)).alias("p")).filter("p.df > 1").select("id", "n", "p.gram")
-    l, r = prefix.alias("l"), prefix.alias("r")
-    cands = (
-        l.join(r, (F.col("l.gram") == F.col("r.gram")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.n") >= F.col("r.n") * threshold) & (F.col("r.n") >= F.col("l.n") * threshold))
-        .groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-        .agg(F.count("*").alias("shared"), F.first(F.least("l.n", "r.n")).alias("n"))
-        .filter(F.col("shared") >= need)
-        .select("a", "b")
-    )
-    checked = cands.join(sets.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
-    both = F.size(F.array_intersect("ga", "gb"))
-    scored = checked.withColumn("jaccard", F.round(both / (F.size("ga") + F.size("gb") - both), 6))
-    return scored.filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard").unionByName(star)
-
-
 def duplicate_groups(ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Connected components by smallest label: every round takes the smallest label among the neighbours and then the
-    label of that label, until nothing changes. Rounds are checkpointed, so lineage and lost executors do no harm."""
-    edges = pairs.select(F.col("a").alias("s"), F.col("b").alias("d"))
-    edges = edges.unionByName(edges.select(F.col("d").alias("s"), F.col("s").alias("d"))).checkpoint()
-    labels = ids.select("id", F.col("id").alias("label")).checkpoint()
-    while True:
-        near = edges.join(labels, F.col("d") == F.col("id")).groupBy("s").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("id") == F.col("s"), "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        hop = step.select(F.col("id").alias("new"), F.col("new").alias("jump"))
-        nxt = step.join(hop, "new", "left").select("id", "label", F.least("new", F.coalesce("jump", "new")).alias("new")).checkpoint()
-        if nxt.filter("label <> new").isEmpty():
-            return nxt.select("id", F.col("new").alias("group_id"))
-        labels = nxt.select("id", F.col("new").alias("label"))
+    """(id, group_id): connected components of the pairs; an id without a pair is a group of its own."""
+    return ids.join(components(pairs), "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
 def group_split(records: DataFrame) -> DataFrame:
-    """records: id, label, group_id. Per label the first max(1, 20%) groups by hash order go to validation, with all
-    their records. Ranks are counted over hash ranges, so no label is sorted in one task."""
+    """records: id, label, group_id. Per label the first max(1, 20%) groups by hash order go to validation, with all their records, so that no group is on
+    both sides. A label with a single group keeps it in train, and so does one whose groups would all go to validation (groups may
+    have several labels): its last group in hash order stays. Ranks are counted over hash ranges, so no label is sorted in one task.
+    """
     g = records.select("label", "group_id").distinct().withColumn("h", F.sha2(F.col("group_id").cast("string"), 256))
-    ranked = running(g.withColumn("one", F.lit(1)), ["label"], ["h"], F.substring("h", 1, 3), {"rk": ("sum", F.col("one"), True)})
+    ranked = stored(running(g.withColumn("one", F.lit(1)), ["label"], ["h"], F.substring("h", 1, 3), {"rk": ("sum", F.col("one"), True)}))
     n = g.groupBy("label").agg(F.count("*").alias("n"))
-    chosen = ranked.join(n, "label").filter(F.col("rk") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.2))).select("group_id").distinct().withColumn("_v", F.lit(True))
+    share = F.greatest(F.lit(1), F.floor(F.col("n") * 0.2))
+    wanted = ranked.join(n, "label").filter((F.col("rk") <= share) & (F.col("n") > 1)).select("group_id").distinct().withColumn("_v", F.lit(True))
+    sides = ranked.join(wanted, "group_id", "left").withColumn("_v", F.coalesce("_v", F.lit(False)))
+    lost = sides.groupBy("label").agg(F.min("_v").alias("all"), F.max_by("group_id", "h").alias("last")).filter("all").select(F.col("last").alias("group_id"))
+    chosen = wanted.join(lost.distinct(), "group_id", "left_anti")
     return records.join(chosen, "group_id", "left").select("id", "label", "group_id", F.when(F.col("_v"), "validation").otherwise("train").alias("split"))
 
 
+def untrained_labels(split: DataFrame) -> DataFrame:
+    """Labels of `split` (label, split, group_id) that can't be split: fewer than two groups. They are reported, not spread over both sides."""
+    return split.groupBy("label").agg(F.count_distinct("group_id").alias("groups"), F.count_if(F.col("split") == "train").alias("in_train")).filter("groups < 2")
+
+
 # ---- features and scores ------------------------------------------------------------------------------------------
 
 def fnv1a(c: Column, dims: int) -> Column:
@@ -219,17 +175,40 @@ def abstain(scores: DataFrame) -> DataFrame:
     label = F.element_at(F.array(*[F.lit(l) for l in LABELS]), (1 - top["o"]).cast("int"))
     margin = F.round(top["p"] - second["p"], 6)
     ok = ~F.col("truncated") & (top["p"] >= MIN_SCORE) & (margin >= MIN_MARGIN)
-    return ranked.select("id", label.alias("candidate"), F.round(top["p"], 6).alias("score"), margin.alias("margin"), F.when(ok, label).otherwise("ABSTAIN").alias("decision"))
+    return ranked.select("id", label.alias("candidate"), F.round(top["p"], 6).alias("score"), margin.alias("margin"), F.when(ok, label).otherwise(ABSTAIN).alias("decision"))
+
+
+def weight_table(spark: SparkSession, model, path: str) -> tuple[DataFrame, list[float]]:
+    """A fitted model saved at `path`, loaded again and taken apart: (idx, w in label order), and the intercepts. At most DIMENSIONS rows."""
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    model.write().overwrite().save(path)
+    loaded = LogisticRegressionModel.load(path)
+    w = loaded.coefficientMatrix.toArray()
+    used = [i for i in range(w.shape[1]) if w[:, i].any()]
+    rows = spark.createDataFrame([(i, [float(x) for x in w[:, i]]) for i in used], "idx int, w array<double>")
+    return rows, [float(x) for x in loaded.interceptVector.toArray()]
 
 
-def linear_scores(features: DataFrame, weights: DataFrame) -> DataFrame:
-    """features: id, idx, value; weights: idx, w (array in label order), at most 32768 rows, hence safe to broadcast."""
-    j = features.join(F.broadcast(weights), "idx")
-    k = len(LABELS)
-    logits = j.groupBy("id").agg(F.array(*[F.sum(F.col("value") * F.col("w")[i]) for i in range(k)]).alias("z"))
+def guarded(scores: DataFrame, gate: DataFrame) -> DataFrame:
+    """scores: id, candidate, decision, ...; gate: id, reason (why an automatic label must abstain, or null). Adds the guarded decision and its reason."""
+    j = scores.join(gate, "id", "left")
+    return j.withColumn("guarded", F.when(F.col("reason").isNull(), F.col("decision")).otherwise(ABSTAIN))
+
+
+def linear_scores(features: DataFrame, weights: DataFrame, intercepts: list[float] | None = None) -> DataFrame:
+    """features: id, idx, value; weights: idx, w (array in label order), at most 32768 rows, hence safe to broadcast; intercepts in label order.
+
+    A row without any weighted feature has the intercepts alone. Labels beyond the intercepts have probability 0.
+    """
+    k = len(intercepts) if intercepts is not None else len(LABELS)
+    base = intercepts or [0.0] * k
+    j = features.join(F.broadcast(weights), "idx", "left")
+    logits = j.groupBy("id").agg(F.array(*[F.coalesce(F.sum(F.col("value") * F.col("w")[i]), F.lit(0.0)) + base[i] for i in range(k)]).alias("z"))
     top = logits.withColumn("e", F.transform("z", lambda z: F.exp(z - F.array_max("z"))))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return top.withColumn("_t", total).select("id", F.transform("e", lambda x: x / F.col("_t")).alias("probs"))
+    probs = F.transform("e", lambda x: x / F.col("_t"))
+    return top.withColumn("_t", total).select("id", F.concat(probs, F.array_repeat(F.lit(0.0), len(LABELS) - k)).alias("probs"))
 
 
 def validate_families(steps: DataFrame) -> DataFrame:

@@ -321,11 +321,12 @@ def frame_evidence(frames: DataFrame) -> DataFrame:
 
 # ---- requests for listed keywords ---------------------------------------------------------------------------------
 
-def keyword_requests(normalized: DataFrame, keywords: DataFrame) -> DataFrame:
+def keyword_requests(normalized: DataFrame, keywords: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Messages that request a listed keyword; keywords: item_id, keyword. Word runs are matched by an equi-join."""
-    one = normalized.select("conv_id", "turn", F.explode(clauses(F.col("text"), F.col("primary_lang"))).alias("c"))
+    keys = keys or ["conv_id", "turn"]
+    one = normalized.select(*keys, F.explode(clauses(F.col("text"), F.col("primary_lang"))).alias("c"))
     marked = one.select(
-        "conv_id", "turn", F.col("c.clause").alias("clause"), F.split(F.regexp_replace("c.t", r"([\p{L}\p{N}]+)", "\u0001$1"), "\u0001").alias("parts")
+        *keys, F.col("c.clause").alias("clause"), F.split(F.regexp_replace("c.t", r"([\p{L}\p{N}]+)", "\u0001$1"), "\u0001").alias("parts")
     ).filter(F.size("parts") > 1)
     wanted = (
         keywords.select(
@@ -351,9 +352,9 @@ def keyword_requests(normalized: DataFrame, keywords: DataFrame) -> DataFrame:
         )
     )
     hits = runs.join(wanted, "run").select(
-        "conv_id", "turn", "clause", "keyword", bind(F.array_join(F.slice("parts", F.lit(1), F.col("i") + 1), "")).alias("b")
+        *keys, "clause", "keyword", bind(F.array_join(F.slice("parts", F.lit(1), F.col("i") + 1), "")).alias("b")
     )
-    return only(hits, F.col("b.ok")).select("conv_id", "turn", "clause", "keyword", F.col("b.action").alias("action"))
+    return only(hits, F.col("b.ok")).select(*keys, "clause", "keyword", F.col("b.action").alias("action"))
 
 
 # ---- everything together ------------------------------------------------------------------------------------------

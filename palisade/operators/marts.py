@@ -89,8 +89,8 @@ def abstention_metrics(runs: DataFrame, keys: list[str]) -> DataFrame:
     per = sides.groupBy(*keys, "label").agg(*_counts(F.col("expected") == F.col("label"), F.col("decision") == F.col("label"))[:3])
     # Whole numbers of 10^-12 are added and divided, so neither the order of additions nor a second rounding decides the last digit.
     part = F.expr("div(cast(2 * tp as decimal(20,0)) * cast(1000000000000 as decimal(13,0)), cast(2 * tp + fp + fn as decimal(20,0)))")
-    sums = per.groupBy(*keys).agg(F.sum(part).alias("s"), F.count("*").alias("k"))
-    macro = sums.select(*keys, (F.expr("div(div(s, k) + 500000, 1000000)") / 1_000_000).alias("macro_f1"))
+    sums = per.groupBy(*keys).agg(F.sum(part).alias("_s"), F.count("*").alias("_n"))
+    macro = sums.select(*keys, (F.expr("div(div(_s, _n) + 500000, 1000000)") / 1_000_000).alias("macro_f1"))
     return (
         base.join(macro, keys)
         .withColumn("coverage", ratio(F.col("covered"), F.col("n")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -224,21 +226,42 @@ def semantic_verdicts(rows: DataFrame) -> DataFrame:
     return df.withColumn("sem_intent", F.when(F.col("_keep"), F.col("raw_intent"))).withColumn("sem_confidence", F.when(F.col("_keep"), F.col("_conf"))).drop("_conf", "_keep")
 
 
+PROTOTYPE_BLOCK, VECTOR_BLOCK = 512, 4000
+
+
+def _block_top(k: int):
+    """One block of vectors against one block of prototypes: the k best cosines of every vector, ties to the smaller prototype."""
+
+    def unit(column) -> tuple[np.ndarray, np.ndarray]:
+        m = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+        return m, np.sqrt((m * m).sum(1))
+
+    def run(vectors: pa.Table, prototypes: pa.Table) -> pa.Table:
+        none = pa.table({"vec_id": pa.array([], pa.int64()), "proto_id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        if not vectors.num_rows or not prototypes.num_rows:
+            return none
+        prototypes = prototypes.sort_by("proto_id")
+        (v, nv), (p, np_) = unit(vectors.column("embedding")), unit(prototypes.column("vec"))
+        lengths = nv[:, None] * np_[None]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            cosine = np.where(lengths > 0, np.round(v @ p.T / lengths, 6), -2.0)  # -2: without direction, behind all others
+        best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+        ids, protos = vectors.column("vec_id").to_numpy(), prototypes.column("proto_id").to_numpy()
+        return pa.table({"vec_id": np.repeat(ids, best.shape[1]).astype(np.int64), "proto_id": protos[best.ravel()].astype(np.int64), "cosine": np.take_along_axis(cosine, best, 1).ravel()})
+
+    return run
+
+
 def embedding_neighbours(vectors: DataFrame, prototypes: DataFrame, k: int) -> DataFrame:
-    """Top-k prototypes per vector by cosine; prototypes are a fixed small set, one per class."""
-    unit = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    p = prototypes.select("proto_id", F.struct(F.col("proto_id"), F.col("vec"), unit("vec").alias("n")).alias("p"))
-    # All prototypes in one row beside each vector: no pairs are shuffled and the top-k is taken inside the row.
-    bundle = p.agg(F.collect_list("p").alias("ps"))
-    j = vectors.crossJoin(F.broadcast(bundle)).withColumn("_n", unit("embedding"))
-    sims = F.transform(
-        "ps",
-        lambda q: F.struct(
-            F.round(F.try_divide(F.aggregate(F.zip_with("embedding", q["vec"], lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x), F.col("_n") * q["n"]), 6).alias("cosine"),
-            (-q["proto_id"]).alias("neg"),
-        ),
-    )
-    top = F.slice(F.sort_array(sims, asc=False), 1, k)
-    return j.select("vec_id", F.posexplode(top).alias("i", "s")).select(
-        "vec_id", (F.col("i") + 1).alias("rank"), (-F.col("s.neg")).alias("proto_id"), F.col("s.cosine").alias("cosine")
-    )
+    """Top-k prototypes per vector by cosine; vectors: vec_id, embedding; prototypes: proto_id, vec. All vectors have one length.
+
+    Any number of prototypes: blocks of prototypes meet blocks of vectors as matrix products, each gives its k best, the best of those stand.
+    """
+    blocks = lambda frame, size: F.lit(max(1, -(-frame.count() // size)))
+    n_v, n_p = blocks(vectors, VECTOR_BLOCK), blocks(prototypes, PROTOTYPE_BLOCK)
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.pmod(F.xxhash64("vec_id"), n_v).alias("vb"), F.explode(F.sequence(F.lit(0), n_p - 1)).alias("pb"))
+    p = prototypes.select(F.col("proto_id").cast("long").alias("proto_id"), "vec", F.pmod(F.xxhash64("proto_id"), n_p).cast("int").alias("pb"), F.explode(F.sequence(F.lit(0).cast("long"), n_v - 1)).alias("vb"))
+    found = v.groupBy("vb", "pb").cogroup(p.groupBy("vb", "pb")).applyInArrow(_block_top(k), "vec_id long, proto_id long, cosine double")
+    order = W.partitionBy("vec_id").orderBy(F.desc("cosine"), "proto_id")
+    top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return top.select("vec_id", "rank", "proto_id", F.when(F.col("cosine") >= -1.5, F.col("cosine")).alias("cosine"))

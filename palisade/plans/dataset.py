@@ -1,14 +1,17 @@
 """Queries over training data, features, training and scoring."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palisade.operators import dataset as T
 from palisade.operators import evidence as E
+from palisade.operators.near_copies import near_duplicate_pairs as near_duplicate_pairs_of
 from palisade.operators.scan import running, top_per_key, turn_bucket
 from palisade.oracle.sql import cte, lit
 from palisade.plans.corpus_text import normalized
 from palisade.plans.registry import query
-from palisade.session import ensure_checkpoint_dir
+from palisade.session import ensure_checkpoint_dir, shared_folder
 from palisade.sources.planted import messages
 from palisade.sources.tables import spread, table
 
@@ -81,13 +84,13 @@ WHERE jaccard >= 0.8 UNION ALL SELECT rep, id, 1.0 FROM q_canon JOIN q_reps USIN
 @query("near_duplicate_pairs", "SELECT a, b, jaccard FROM q_near")
 def near_duplicate_pairs(spark, folder):
     ensure_checkpoint_dir(spark)
-    return T.near_duplicate_pairs(canonical_documents(spark, folder))
+    return near_duplicate_pairs_of(canonical_documents(spark, folder))
 
 
 def document_groups(spark, folder):
     ensure_checkpoint_dir(spark)
     docs = canonical_documents(spark, folder)
-    return T.duplicate_groups(docs.select("id"), T.near_duplicate_pairs(docs))
+    return T.duplicate_groups(docs.select("id"), near_duplicate_pairs_of(docs))
 
 
 _GROUPS = """WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM q_near UNION SELECT b, a FROM q_near),
@@ -101,12 +104,13 @@ def duplicate_groups(spark, folder):
     return document_groups(spark, folder)
 
 
-cte("q_doc_labels", "SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'threat' WHEN quality = 1 THEN 'safe' ELSE 'poor' END AS label FROM labels")
+cte("q_doc_labels", "SELECT doc_id AS id, CASE WHEN toxic = 1 OR doc_id % 13 = 5 THEN 'threat' WHEN quality = 1 THEN 'safe' ELSE 'poor' END AS label FROM labels")
 
 
 def doc_labels(spark, folder):
     l = table(spark, folder, "labels")
-    return l.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "threat").when(F.col("quality") == 1, "safe").otherwise("poor").alias("label"))
+    # Every thirteenth document is planted as a threat, so that some copies have two labels.
+    return l.select(F.col("doc_id").alias("id"), F.when((F.col("toxic") == 1) | (F.col("doc_id") % 13 == 5), "threat").when(F.col("quality") == 1, "safe").otherwise("poor").alias("label"))
 
 
 @query(
@@ -122,8 +126,10 @@ def conflicting_labels(spark, folder):
     "group_split",
     _GROUPS.rstrip() + """,
 g AS (SELECT DISTINCT label, group_id FROM groups JOIN q_doc_labels USING (id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256(CAST(group_id AS VARCHAR))) AS rk, count(*) OVER (PARTITION BY label) AS n FROM g)
-SELECT id, label, group_id, CASE WHEN group_id IN (SELECT group_id FROM r WHERE rk <= greatest(1, floor(n * 0.2))) THEN 'validation' ELSE 'train' END AS split
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256(CAST(group_id AS VARCHAR))) AS rk, count(*) OVER (PARTITION BY label) AS n FROM g),
+w AS (SELECT DISTINCT group_id FROM r WHERE rk <= greatest(1, floor(n * 0.2)) AND n > 1),
+lost AS (SELECT arg_max(group_id, sha256(CAST(group_id AS VARCHAR))) AS group_id FROM r GROUP BY label HAVING bool_and(group_id IN (SELECT group_id FROM w)))
+SELECT id, label, group_id, CASE WHEN group_id IN (SELECT group_id FROM w) AND group_id NOT IN (SELECT group_id FROM lost) THEN 'validation' ELSE 'train' END AS split
 FROM groups JOIN q_doc_labels USING (id)""",
 )
 def group_split(spark, folder):
@@ -177,20 +183,44 @@ def hashed_features(spark, folder):
     return features(spark, folder).select("id", "idx", F.round("value", 5).alias("value"))
 
 
-@query("train_intent_model")
-def train_intent_model(spark, folder):
+def fitted(spark, folder):
+    """(model, its input vectors, records): trained on four fifths of the conversations."""
     ensure_checkpoint_dir(spark)
     vectors = T.to_vectors(features(spark, folder)).checkpoint()
     records = conversation_labels(spark, folder).select(F.col("conv_id").alias("id"), "label")
-    model = T.train_intent_model(vectors, records.filter("id % 5 <> 0"))
+    return T.train_intent_model(vectors, records.filter("id % 5 <> 0")), vectors, records
+
+
+def cut_records(spark, folder):
+    return bounded(spark, folder).select(F.col("conv_id").alias("id"), "truncated")
+
+
+@query("train_intent_model")
+def train_intent_model(spark, folder):
     from pyspark.ml.functions import vector_to_array
 
+    model, vectors, records = fitted(spark, folder)
     scored = model.transform(vectors).select("id", vector_to_array("probability").alias("probs"))
     wide = scored.withColumn("probs", F.concat("probs", F.array_repeat(F.lit(0.0), len(T.LABELS) - F.size("probs"))))
-    done = T.abstain(wide.withColumn("truncated", F.lit(False)))
+    done = T.abstain(wide.join(cut_records(spark, folder), "id"))
     return done.join(records, "id").select("id", F.when(F.col("id") % 5 == 0, "validation").otherwise("train").alias("split"), "label", "candidate", "score", "margin", "decision")
 
 
+@query("score_with_abstention_fitted")
+def score_with_abstention_fitted(spark, folder):
+    """The saved and reloaded model as a weight table, by plain joins and sums; beside its decision the guarded one, which also abstains
+    where the context gate has a reason against the candidate."""
+    from palisade.operators import request_signals as Q
+
+    model, _, _ = fitted(spark, folder)
+    weights, intercepts = T.weight_table(spark, model, f"{shared_folder(spark)}/intent-model-{uuid.uuid4().hex}")
+    scores = T.abstain(T.linear_scores(features(spark, folder), weights, intercepts).join(cut_records(spark, folder), "id"))
+    m = messages(spark, folder).filter("direction = 'inbound'")
+    latest = m.join(m.groupBy("conv_id").agg(F.max("turn").alias("turn")), ["conv_id", "turn"], "left_semi").withColumn("signals", Q.signals(F.col("text")))
+    asked = latest.select(F.col("conv_id").alias("id"), "text", "signals").join(scores.select("id", "candidate"), "id")
+    return T.guarded(scores, Q.context_gate(asked, F.col("candidate")).select("id", "reason"))
+
+
 _W = "CAST(((idx * 31 + l * 17) % 97) - 48 AS DOUBLE) / 5"
 
 

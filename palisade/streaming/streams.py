@@ -4,32 +4,57 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from palisade.dims.phrases import CYCLE
 from palisade.sources.planted import phrase_bank, sent_ms
 from palisade.session import shared_folder
+from palisade.streaming.processors import Context, Outbound, Quarantine
 
-WINDOW_MS, KEEP = 900_000, 30
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FILES_PER_BATCH = 8  # a backlog is worked off in batches of so many files
 
 
+def _files(spark: SparkSession, folder: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, place
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that a stream needed only while it ran."""
+    fs, place = _files(spark, folder)
+    fs.delete(place, True)
+
+
 def stream_table(spark: SparkSession, folder: str, name: str, order: Column) -> DataFrame:
     """A table as a stream: one file, or a folder of part files, which is replayed in the order of event time (`order`)."""
     path = f"{folder}/{name}.parquet"
     rows = spark.read.parquet(path)
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+    fs, place = _files(spark, path)
+    if not fs.getFileStatus(place).isDirectory():
         return source.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     return source.parquet(time_ranged(rows, order))
 
 
-def time_ranged(rows: DataFrame, order: Column) -> str:
-    """Folder with the rows in files of ascending ranges of `order`, which a file stream reads in this sequence.
+def closed_stream(spark: SparkSession, folder: str, name: str, clock: str) -> DataFrame:
+    """A whole table as a stream in the order of `clock` (a time stamp), with a last row a day later that has nothing but its time.
+
+    The last row moves the watermark over all others, so windows that are open at the end of the backlog are closed as well.
+    """
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    end = rows.agg((F.max(clock) + F.expr("INTERVAL 1 DAY")).alias(clock))
+    mark = end.select(*[F.col(clock).cast(f.dataType).alias(clock) if f.name == clock else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    path = time_ranged(rows, F.col(clock), mark)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
+
+
+def time_ranged(rows: DataFrame, order: Column, last: DataFrame | None = None) -> str:
+    """Folder with the rows in files of ascending ranges of `order`, which a file stream reads in this sequence, and the rows of `last` after them.
 
     No row comes later than one of a batch before, so none is late for a watermark and carried state sees the turns in order; a long
     conversation reaches its stateful step in as many parts as it has ranges.
@@ -37,11 +62,17 @@ def time_ranged(rows: DataFrame, order: Column) -> str:
     spark = rows.sparkSession
     folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     rows.repartitionByRange(max(1, rows.rdd.getNumPartitions()), order).write.parquet(folder)
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    parts = sorted((f for f in fs.listStatus(place) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
-    for i, f in enumerate(parts):  # a file stream goes by modification time
-        fs.setTimes(f.getPath(), parts[0].getModificationTime() + 1000 * i, -1)
+    fs, place = _files(spark, folder)
+    listed = lambda: {f.getPath().getName(): f for f in fs.listStatus(place) if f.getPath().getName().startswith("part-")}
+    parts = listed()
+    names = sorted(parts)
+    if last is not None:
+        last.coalesce(1).write.mode("append").parquet(folder)
+        parts = listed()
+        names += sorted(set(parts) - set(names))
+    start = min(f.getModificationTime() for f in parts.values())
+    for i, name in enumerate(names):  # a file stream goes by modification time
+        fs.setTimes(parts[name].getPath(), start + 1000 * i, -1)
     return folder
 
 
@@ -62,92 +93,43 @@ def stream_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available now into a fresh folder under the checkpoint folder and read it back."""
+    """Run a stream over what is available now into a fresh folder under the checkpoint folder and read it back.
+
+    State lives in the embedded key-value store, whose maps and lists are on disk. The query's own folder (offsets, state) goes when it has ended.
+    """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    q = (
-        stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        q = (
+            stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+            .trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+    remove(spark, f"{base}/state")
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def drain_latest(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Run an aggregating stream over what is available now and keep the last state of every group, open windows included."""
-    spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+def _stateful(rows: DataFrame, processor: StatefulProcessor) -> DataFrame:
+    return rows.withWatermark("ts", "15 minutes").groupBy("conv_id").transformWithStateInPandas(processor, processor.OUT, "append", "eventtime")
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{base}/out")
 
-    q = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    rest = [c for c in stream.columns if c not in keys]
-    rows = spark.read.schema(stream.schema.add("_batch", "long")).parquet(f"{base}/out")
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_s")).select(*keys, "_s.*")
+def with_stream_context(flagged: DataFrame) -> DataFrame:
+    """flagged: conv_id, turn, ts_ms, ts, direction, clusters (joined text), payout. Every message with its inbound context; see `Context`."""
+    return _stateful(flagged, Context())
 
 
-def with_stream_context(flagged: DataFrame) -> DataFrame:
-    """flagged: conv_id, turn, ts_ms, direction, clusters (joined text), payout. Emits every message with its inbound
-    context; state is at most 30 entries per conversation, dropped after 15 minutes of event time."""
-
-    def step(key, batches, state: GroupState):
-        held = [list(x) for x in state.get[0]] if state.exists else []
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values("turn")
-        rows = []
-        for turn, ts, direction, clusters, payout in zip(pdf["turn"], pdf["ts_ms"], pdf["direction"], pdf["clusters"], pdf["payout"]):
-            held = [h for h in held if 0 <= ts - h[1] < WINDOW_MS]
-            if direction == "inbound":
-                held = (held + [[int(turn), int(ts), clusters, bool(payout)]])[-KEEP:]
-            ctx = [{"turn": h[0], "ts_ms": h[1], "clusters": h[2].split(",") if h[2] else [], "payout": h[3]} for h in held]
-            rows.append((key[0], int(turn), int(ts), direction, ctx))
-        state.update(([tuple(h) for h in held],))
-        state.setTimeoutTimestamp(max(int(pdf["ts_ms"].max()) + WINDOW_MS, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["conv_id", "turn", "ts_ms", "direction", "ctx"])
-
-    out = "conv_id long, turn long, ts_ms long, direction string, ctx array<struct<turn:long,ts_ms:long,clusters:array<string>,payout:boolean>>"
-    held = "held array<struct<turn:long,ts_ms:long,clusters:string,payout:boolean>>"
-    return flagged.withWatermark("ts", "15 minutes").groupBy("conv_id").applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def with_stream_flags(assets: DataFrame) -> DataFrame:
-    """assets: conv_id, turn, ts, card_now, cvv_own, lone, exp_now. Adds what was sent before; state is three flags."""
-
-    def step(key, batches, state: GroupState):
-        card, cvv, exp = state.get if state.exists else (False, False, False)
-        pdf = pd.concat(list(batches)).sort_values("turn")
-        rows = []
-        for turn, c, v, lone, e in zip(pdf["turn"], pdf["card_now"], pdf["cvv_own"], pdf["lone"], pdf["exp_now"]):
-            now = bool(v or ((c or card) and lone))
-            rows.append((key[0], int(turn), bool(c), now, bool(e), card, cvv, exp))
-            card, cvv, exp = card or bool(c), cvv or now, exp or bool(e)
-        state.update((card, cvv, exp))
-        yield pd.DataFrame(rows, columns=["conv_id", "turn", "card_now", "cvv_now", "exp_now", "card_before", "cvv_before", "exp_before"])
-
-    out = "conv_id long, turn long, card_now boolean, cvv_now boolean, exp_now boolean, card_before boolean, cvv_before boolean, exp_before boolean"
-    return assets.groupBy("conv_id").applyInPandasWithState(step, out, "card boolean, cvv boolean, exp boolean", "append", GroupStateTimeout.NoTimeout)
+def with_stream_memory(assets: DataFrame) -> DataFrame:
+    """assets: conv_id, turn, ts_ms, ts, session, cards, cvv, lone, expiry, otp, gps, sab, item_id. Adds what was sent before; see `Outbound`."""
+    return _stateful(assets, Outbound())
 
 
 def quarantine(verdicts: DataFrame) -> DataFrame:
-    """verdicts: conv_id, turn, is_scam, confidence. State is one flag per conversation."""
-
-    def step(key, batches, state: GroupState):
-        on = bool(state.get[0]) if state.exists else False
-        pdf = pd.concat(list(batches)).sort_values("turn")
-        rows = []
-        for turn, scam, conf in zip(pdf["turn"], pdf["is_scam"], pdf["confidence"]):
-            rows.append((key[0], int(turn), on, bool(on or (scam is not None and scam)), 99.0 if on else conf))
-            on = on or bool(scam is not None and scam and conf is not None and conf >= 75)
-        state.update((on,))
-        yield pd.DataFrame(rows, columns=["conv_id", "turn", "quarantined", "is_scam", "confidence"])
-
-    return verdicts.groupBy("conv_id").applyInPandasWithState(
-        step, "conv_id long, turn long, quarantined boolean, is_scam boolean, confidence double", "on boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    """verdicts: conv_id, turn, ts_ms, ts, is_scam, confidence; see `Quarantine`."""
+    return _stateful(verdicts, Quarantine())
 
 
 def tainted(lures: DataFrame, forms: DataFrame) -> DataFrame:
@@ -171,8 +153,17 @@ def dedup(messages: DataFrame) -> DataFrame:
     return long_enough.withWatermark("ts", "15 minutes").dropDuplicatesWithinWatermark(["conv_id", "text"])
 
 
-def detection_counts(verdicts: DataFrame) -> DataFrame:
-    return (
-        verdicts.withWatermark("ts", "15 minutes").groupBy(F.window("ts", "5 minutes"), "host", "kind").agg(F.count("*").alias("n"))
-        .select(F.col("window.start").alias("from_ts"), "host", "kind", "n")
-    )
+WINDOWS = {
+    "tumbling": lambda: F.window("ts", "5 minutes"),
+    "sliding": lambda: F.window("ts", "15 minutes", "5 minutes"),
+    "session": lambda: F.session_window("ts", "15 minutes"),
+}
+
+
+def detection_counts(verdicts: DataFrame, window: str) -> DataFrame:
+    """Detections per host and kind in windows of event time; a window is given out once, when the watermark has passed it.
+
+    The last row of a `closed_stream` comes out as a window without host: a filter here would be pushed below the watermark and take that row away.
+    """
+    counted = verdicts.withWatermark("ts", "15 minutes").groupBy(WINDOWS[window]().alias("w"), "host", "kind").agg(F.count("*").alias("n"))
+    return counted.select(F.lit(window).alias("window"), F.col("w.start").alias("from_ts"), F.col("w.end").alias("to_ts"), "host", "kind", "n")

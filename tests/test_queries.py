@@ -24,10 +24,15 @@ def test_against_check_query(spark, con, key):
 def test_stream_equals_batch(spark):
     import __spark_entry__ as entry
 
-    stream = {(r.conv_id, r.turn): (r.card_before, r.cvv_before) for r in entry.queries()["stream_cross_leaks"](spark, FOLDER).collect()}
+    flags = ["card_now", "cvv_now", "exp_now", "otp_now", "gps", "sab", "card_before", "exp_before", "cvv_before"]
+    stream = {(r.conv_id, r.turn): tuple(r[f] for f in flags) for r in entry.queries()["stream_cross_leaks"](spark, FOLDER).collect()}
     from palisade.operators import assets as A
+    from palisade.plans.streams import TURNS_PER_SESSION
     from palisade.sources.planted import messages
     from pyspark.sql import functions as F
 
-    batch = A.cross_message(messages(spark, FOLDER).filter("direction = 'outbound'").withColumn("n_items", F.lit(0)))
-    assert stream == {(r.conv_id, r.turn): (r.card_before, r.cvv_before) for r in batch.collect()}
+    # a session of a conversation is a conversation of its own
+    sent = messages(spark, FOLDER).filter("direction = 'outbound'").withColumn("n_items", F.lit(0))
+    own = sent.withColumn("conv_id", F.col("conv_id") * 1000 + F.floor(F.col("turn") / TURNS_PER_SESSION))
+    batch = {(r.conv_id // 1000, r.turn): tuple(r[f] for f in flags) for r in A.cross_message(own).collect()}
+    assert stream == batch and len(stream) > 20
