@@ -1,11 +1,12 @@
 """Benchmark decontamination by templates: finds benchmark items in documents also when their numbers, names or units were changed.
 
-Words are stripped of punctuation and lower-cased; numbers, names (capitalised words inside a sentence) and units (after a number) become
-typed placeholders. Windows of `WINDOW` template words with at least half of them literal are hashed and joined between documents and items. Hits
-of one document and item on one diagonal (same shift) are one match; it counts when it covers `COVER` of the item's windows or `RUN`
-windows. The slots of a match must be consistent: one value of the item always stands for one value of the document, so an exact copy or a
-re-parameterised question passes and a chance mix of values does not; two values of an item may become the same one. An item without a
-half literal window (mostly numbers or names) is looked for word by word instead: its windows are hashed without placeholders.
+Words are stripped of punctuation and lower-cased; numbers with their units (`3 km`, `3km`) and names (capitalised words inside a sentence,
+several in a row as one) become typed placeholders, one token each, so a slot may change its number of words. Windows of `WINDOW` template
+tokens with at least half of them literal are hashed and joined between documents and items; a window with more slots is hashed without
+placeholders. Hits of one document and item on one diagonal (same shift) are one match; it counts when it covers `COVER` of the item's template windows,
+or of all its windows, or `RUN` windows. The slots of a match must be consistent: one value of the item always stands for one value of the document, so an
+exact copy or a re-parameterised question passes and a chance mix of values does not; two values of an item may become the same one. An item of fewer
+than `MIN_WORDS` tokens is found where a line of a document is that item, word for word.
 
 The window hashes of the benchmark go to the map tasks while there are at most `SENT_HASHES` of them (8 bytes each), so only hits leave
 a task; with a larger benchmark all document windows are shuffled to the same join.
@@ -14,6 +15,7 @@ a task; with a larger benchmark all document windows are shuffled to the same jo
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import save, shared_dir, windows
+from palisade.llm.common import MIX, save, shared_dir, windows
 
 WINDOW, MIN_WORDS, COVER, RUN = 8, 4, 0.5, 6
 SENT_HASHES = 2_000_000
-_NUM, _UNIT, _NAME, _LITERAL = 1, 2, 3, 0
-_HASHES = np.array([0, *(xxhash.xxh3_64_intdigest(x) for x in (b"<number>", b"<unit>", b"<name>"))], np.uint64)
+_NUM, _NAME, _LITERAL = 1, 2, 0
+_HASHES = np.array([0, *(xxhash.xxh3_64_intdigest(x) for x in (b"<number>", b"<name>"))], np.uint64)
 _NUMBER = re.compile(rb"[+-]?[$]?[0-9][0-9.,:/]*%?(?:st|nd|rd|th)?")
+_LEADING = re.compile(rb"[+-]?[$]?[0-9][0-9.,:/]*")
 _STOPS = b".!?:"
 _EDGE = b".,;:!?\"'()[]{}<>*_"
 #: Units, lower case.
@@ -54,7 +57,7 @@ class Words(dict):
         else:
             text = core.decode("utf-8", "replace")
             low, name = text.lower().encode("utf-8", "replace"), len(text) > 2 and text[0].isupper() and text[1:].islower()
-        number = core[:1] < b":" and _NUMBER.fullmatch(core) is not None
+        number = core[:1] < b":" and (_NUMBER.fullmatch(core) is not None or ((m := _LEADING.match(core)) is not None and core[m.end() :].lower() in UNITS))
         self.hashes[at] = xxhash.xxh3_64_intdigest(low)
         self.flags[at] = number + 2 * (low in UNITS) + 4 * name + 8 * (word[-1] in _STOPS)
         return at
@@ -69,8 +72,42 @@ class Words(dict):
         return self.hashes[at], self.flags[at]
 
 
-def template(words: list[bytes], table: Words, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, slot type, hash of the word itself) per word; `lines`: first words of lines, which start a sentence as words after a stop do."""
+@dataclass
+class Tokens:
+    """A text as template tokens: hash, whether a slot, hash of the plain words, first word of each; all words; hashes of whole short lines and their first words."""
+
+    hashes: np.ndarray
+    slot: np.ndarray
+    plain: np.ndarray
+    first: np.ndarray
+    words: list[bytes]
+    lines: np.ndarray
+    line_at: np.ndarray
+
+    def value(self, token: int) -> str:
+        end = self.first[token + 1] if token + 1 < len(self.first) else len(self.words)
+        return " ".join(w.strip(_EDGE).lower().decode("utf-8", "replace") for w in self.words[self.first[token] : end])
+
+
+def _joined(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One hash per run of words from one start to the next; that of a single word is its own."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(hashes)) - np.repeat(starts, np.diff([*starts, len(hashes)]))
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(place.max()) + 1, MIX)) * _MIX_INVERSE
+        return np.add.reduceat(hashes * powers[place], starts)
+
+
+def template(text: str | None, table: Words) -> Tokens:
+    """Tokens of a text. First words of lines start a sentence as words after a stop do."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    words = data.split()
+    if not words:
+        none, no_hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return Tokens(no_hash, np.zeros(0, bool), no_hash, none, words, no_hash, none)
+    breaks = np.unique(np.cumsum([0, *(len(line.split()) for line in data.split(b"\n"))]))
+    lines = breaks[breaks < len(words)]
     hashes, flags = table.look_up(words)
     number = flags & 1 > 0
     start = np.ones(len(words), bool)
@@ -79,37 +116,41 @@ def template(words: list[bytes], table: Words, lines: np.ndarray) -> tuple[np.nd
     unit = flags & 2 > 0
     unit[1:] &= number[:-1]
     unit[:1] = False
-    kind = np.where(number, _NUM, np.where(unit, _UNIT, np.where((flags & 4 > 0) & ~start, _NAME, _LITERAL)))
-    return np.where(kind == _LITERAL, hashes, _HASHES[kind]), kind, hashes
+    unit &= ~number
+    name = (flags & 4 > 0) & ~start & ~number & ~unit
+    again = np.zeros(len(words), bool)
+    again[1:] = name[1:] & name[:-1]
+    first = np.flatnonzero(~(unit | again))
+    kind = np.where(number, _NUM, np.where(name, _NAME, _LITERAL))[first]
+    plain = _joined(hashes, first)
+    ends = np.append(lines[1:], len(words))
+    tokens_in = np.searchsorted(first, ends) - np.searchsorted(first, lines)
+    short = tokens_in < MIN_WORDS
+    whole = _joined(hashes, lines) ^ (ends - lines).astype(np.uint64) ^ _LINE
+    return Tokens(np.where(kind == _LITERAL, hashes[first], _HASHES[kind]), kind != _LITERAL, plain, first, words, whole[short], lines[short])
 
 
 _EXACT = np.uint64(0x5EED_0F_E4AC7)  # tells windows of plain words from those of template words
+_LINE = np.uint64(0x11E_0F_E4AC7)
+_MIX_INVERSE = np.uint64(pow(int(MIX), -1, 2**64))
 
 
-def text_windows(text: str | None, table: Words, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """(hashes, starts, sizes, exact) of all windows, with words and slot types: template words where at least half are literal, else plain words (exact)."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    words = data.split()
+def text_windows(tokens: Tokens, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, sizes, exact) of all windows: of template tokens where at least half are literal, else of plain words (exact)."""
     none = np.zeros(0, np.int64)
-    if not words:
-        return np.zeros(0, np.uint64), none, none, np.zeros(0, bool), words, none
-    lines = np.cumsum([0, *(len(line.split()) for line in data.split(b"\n"))])
-    hashes, kind, plain = template(words, table, lines[lines < len(words)])
-    slots = np.concatenate([[0], np.cumsum(kind != _LITERAL)])
-    found = []
+    slots = np.concatenate([[0], np.cumsum(tokens.slot)])
+    found = [(np.zeros(0, np.uint64), none, none, np.zeros(0, bool))]
     for size in sizes:
-        if len(words) >= size:
+        if len(tokens.first) >= size:
             heavy = (slots[size:] - slots[:-size]) * 2 > size
-            both = windows(hashes, size) ^ np.uint64(size)
+            both = windows(tokens.hashes, size) ^ np.uint64(size)
             if heavy.any():
-                both = np.where(heavy, windows(plain, size) ^ np.uint64(size) ^ _EXACT, both)
+                both = np.where(heavy, windows(tokens.plain, size) ^ np.uint64(size) ^ _EXACT, both)
             found.append((both, np.arange(len(both)), np.full(len(both), size), heavy))
-    if not found:
-        return np.zeros(0, np.uint64), none, none, np.zeros(0, bool), words, kind
-    return *(np.concatenate(x) for x in zip(*found, strict=True)), words, kind
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-_WINDOWS = "id long, hash long, at int, slots array<string>"
+_WINDOWS = "id long, hash long, at int, word int, size int, exact boolean, slots array<string>"
 
 
 class Wanted:
@@ -131,35 +172,47 @@ class Wanted:
 
 
 def _emit(sizes: list[int], wanted: np.ndarray | None, own_size: bool):
+    """Map over batches (id, text) -> windows; a short line is a window of size 0. own_size: an item has windows of one size, or is a line."""
+
     def run(batches):
         table, filtered = Words(), None if wanted is None else Wanted(wanted)
         for batch in batches:
-            ids, hashes, places, slots = [], [], [], []
+            rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                mine = sizes
-                if own_size:
-                    n = len((text or "").encode("utf-8", "surrogatepass").split())
-                    mine = [min(n, WINDOW)] if n >= MIN_WORDS else []
-                found, starts, lengths, exact, words, kind = text_windows(text, table, mine)
-                hit = np.arange(len(found)) if filtered is None else filtered.hits(found)
-                if own_size and not exact.all():
-                    hit = hit[~exact[hit]]  # an item with template windows goes by these alone
-                for i in hit:
-                    lo, hi = int(starts[i]), int(starts[i] + lengths[i])
-                    ids.append(key)
-                    hashes.append(int(found[i].view(np.int64)))
-                    places.append(lo)
-                    slots.append([words[j].strip(_EDGE).lower().decode("utf-8", "replace") for j in range(lo, hi) if kind[j] != _LITERAL and not exact[i]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int32()), pa.array(slots, pa.list_(pa.string()))], names=["id", "hash", "at", "slots"])
+                tokens = template(text.as_py(), table)
+                n = len(tokens.first)
+                mine = sizes if not own_size else [min(n, WINDOW)] if n >= MIN_WORDS else []
+                found, starts, lengths, exact = text_windows(tokens, mine)
+                for i in np.arange(len(found)) if filtered is None else filtered.hits(found):
+                    lo, size = int(starts[i]), int(lengths[i])
+                    values = [] if exact[i] else [tokens.value(j) for j in range(lo, lo + size) if tokens.slot[j]]
+                    rows.append((key, int(found[i].view(np.int64)), lo, int(tokens.first[lo]), size, bool(exact[i]), values))
+                if not own_size or n < MIN_WORDS:
+                    lines = tokens.lines if not own_size else _joined_lines(tokens, table)
+                    places = tokens.line_at if not own_size else np.zeros(len(lines), np.int64)
+                    for i in np.arange(len(lines)) if filtered is None else filtered.hits(lines):
+                        rows.append((key, int(lines[i].view(np.int64)), int(places[i]), int(places[i]), 0, True, []))
+            columns = list(zip(*rows, strict=True)) or [()] * len(_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     return run
 
 
+_SCHEMA = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("word", pa.int32()), ("size", pa.int32()), ("exact", pa.bool_()), ("slots", pa.list_(pa.string()))])
+
+
+def _joined_lines(tokens: Tokens, table: Words) -> np.ndarray:
+    """The hash that a document's line has when it is the whole item, whatever line breaks the item has."""
+    if not tokens.words:
+        return np.zeros(0, np.uint64)
+    hashes, _ = table.look_up(tokens.words)
+    return _joined(hashes, np.zeros(1, np.int64)) ^ np.uint64(len(tokens.words)) ^ _LINE
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, run: int = RUN, sent_hashes: int = SENT_HASHES) -> DataFrame:
     """(doc_id, item_id, at_word, matched_windows, item_windows, n_slots, changed_slots): documents with a benchmark item, the best match per pair.
 
-    Items with fewer than `MIN_WORDS` words are no evidence and match nothing; items shorter than a window are one window of their own length. Null or
+    Items shorter than a window are one window of their own length, items of fewer than `MIN_WORDS` tokens one whole line. Null or
     empty texts, null ids and empty tables match nothing. Rows repeating an id count once. Ties between matches go to the earlier place.
     """
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").filter("doc_id is not null")
@@ -168,23 +221,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, ru
     items = save(benchmark.mapInArrow(_emit([], None, True), _WINDOWS).distinct(), folder, "items")
     kinds = items.select("hash").distinct().limit(sent_hashes + 1).toArrow().column("hash").to_numpy()
     wanted = np.sort(kinds.view(np.uint64)) if len(kinds) <= sent_hashes else None  # 16 MB at most
-    sizes = list(range(MIN_WORDS, WINDOW + 1)) if wanted is None else _sizes_in(benchmark)
+    sizes = [r[0] for r in items.filter("size > 0").select("size").distinct().orderBy("size").collect()]  # at most WINDOW numbers
     found = docs.mapInArrow(_emit(sizes, wanted, False), _WINDOWS).distinct()
-    per_item = items.groupBy("id").agg(F.countDistinct("at").alias("item_windows")).withColumnRenamed("id", "item_id")
+    per_item = items.groupBy("id").agg(F.count("*").alias("item_windows"), F.count_if(~F.col("exact")).alias("item_template")).withColumnRenamed("id", "item_id")
     item = items.select(F.col("id").alias("item_id"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     hits = found.join(item, "hash").withColumn("shift", F.col("at") - F.col("item_at")).withColumnRenamed("id", "doc_id")
-    hits = save(hits.select("doc_id", "item_id", "shift", "at", "slots", "item_slots"), folder, "hits")
+    hits = save(hits.select("doc_id", "item_id", "shift", "at", "word", "exact", "slots", "item_slots"), folder, "hits")
     keys = ["doc_id", "item_id", "shift"]
-    matches = hits.groupBy(*keys).agg(F.countDistinct("at").alias("matched_windows"), F.min("at").alias("at_word")).join(per_item, "item_id")
-    matches = matches.filter(f"matched_windows >= {run} or matched_windows >= {cover} * item_windows")
+    counted = hits.groupBy(*keys).agg(F.countDistinct("at").alias("matched_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("at"))).alias("matched_template"), F.min("word").alias("at_word"))
+    matches = counted.join(per_item, "item_id")
+    matches = matches.filter(f"matched_windows >= {run} or matched_windows >= {cover} * item_windows or (item_template > 0 and matched_template >= {cover} * item_template)")
     pairs = hits.select(*keys, F.explode(F.arrays_zip("slots", "item_slots")).alias("p")).select(*keys, F.col("p.slots").alias("d"), F.col("p.item_slots").alias("i")).distinct()
     one = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("i").alias("ni"), F.sum((F.col("d") != F.col("i")).cast("int")).alias("changed_slots"))
     judged = matches.join(one, keys, "left").filter("n is null or n = ni")  # one value of the document for each of the item
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched_windows", (-F.col("at_word")).alias("early"), "at_word", "item_windows", F.coalesce("n", F.lit(0)).alias("n_slots"), F.coalesce("changed_slots", F.lit(0)).alias("changed_slots"))).alias("m"))
     return best.select("doc_id", "item_id", "m.at_word", "m.matched_windows", "m.item_windows", "m.n_slots", "m.changed_slots")
-
-
-def _sizes_in(benchmark: DataFrame) -> list[int]:
-    """Window sizes that occur among the items (at most WINDOW of them)."""
-    count = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
-    return sorted(r[0] for r in benchmark.select(F.least(count, F.lit(WINDOW)).alias("n")).filter(f"n >= {MIN_WORDS}").distinct().collect())

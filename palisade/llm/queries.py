@@ -135,22 +135,21 @@ def _url_sql() -> str:
     rule = "CASE " + " ".join(f"{f} '{h}{p}'" for f, (h, p, _) in zip(fits, rules, strict=True)) + " END"
     verdict = "CASE " + " ".join(f"{f} '{v}'" for f, (_, _, v) in zip(fits, rules, strict=True)) + " END"
     return f"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),
 h AS (SELECT *, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM r),
 a AS (SELECT *, substr(rest, length(raw) + 1) AS after FROM h),
 p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(after, '^([^?#]*)', 1) AS path, regexp_extract(after, '^[^?#]*\\?([^#]*)', 1) AS query FROM a),
 l AS (SELECT *, string_split(host, '.') AS names, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p),
 t AS (SELECT page_id, host, path, CASE WHEN host = '' THEN [] ELSE list_sort(list_distinct(list_concat([
-    'top=' || names[-1], 'domain=' || array_to_string(names[-2:], '.'), 'sub=' || CASE WHEN len(names) > 2 THEN names[1] ELSE '-' END, 'first=' || coalesce(parts[1], '-'),
+    'top=' || names[-1], 'domain=' || array_to_string(names[-2:], '.'), 'host=' || host, 'ext=' || coalesce(nullif(lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)), ''), '-'), 'first=' || coalesce(parts[1], '-'),
     'shape=' || CASE WHEN len(parts) = 0 THEN '-' ELSE array_to_string(list_transform(parts, lambda x: regexp_replace(regexp_replace(x, '[0-9]+', '9', 'g'), '[^0-9./]+', 'a', 'g')), '/') END],
-    list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: 'key=' || regexp_extract(x, '^([^=]*)', 1))))) END AS tokens FROM l),
+    list_transform(names[:-2], lambda x: 'label=' || x), list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: 'key=' || regexp_extract(x, '^([^=]*)', 1))))) END AS tokens FROM l),
 known AS (SELECT doc_id AS page_id, max(toxic = 1 OR quality = 0) AS blocked FROM labels WHERE doc_id IS NOT NULL AND (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY doc_id),
 tx AS (SELECT row_number() OVER () AS n, tokens, blocked FROM t JOIN known USING (page_id) WHERE len(tokens) > 0),
 m AS (SELECT ceil({SUPPORT} * count(*)) AS least FROM tx),
 i AS (SELECT n, blocked, unnest(tokens) AS x FROM tx),
-s AS (SELECT n, blocked, [x] AS tokens FROM i UNION ALL SELECT a.n, a.blocked, [a.x, b.x] FROM i a JOIN i b ON a.n = b.n AND a.x < b.x
-  UNION ALL SELECT a.n, a.blocked, [a.x, b.x, c.x] FROM i a JOIN i b ON a.n = b.n AND a.x < b.x JOIN i c ON b.n = c.n AND b.x < c.x),
+s AS (SELECT n, blocked, [x] AS tokens, x AS last FROM i UNION ALL SELECT s.n, s.blocked, list_append(s.tokens, i.x), i.x FROM s JOIN i ON i.n = s.n AND i.x > s.last),
 f AS (SELECT tokens, count(*) AS seen, count(*) FILTER (blocked) AS hits FROM s GROUP BY tokens),
 rules AS (SELECT tokens, seen, hits FROM f, m WHERE hits >= least AND hits >= {CONFIDENCE} * seen),
 kept AS (SELECT * FROM rules w WHERE NOT EXISTS (SELECT 1 FROM rules q WHERE len(q.tokens) < len(w.tokens) AND list_has_all(w.tokens, q.tokens) AND w.hits * q.seen <= q.hits * w.seen)),

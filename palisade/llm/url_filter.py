@@ -1,8 +1,8 @@
 """URL filters: listed host/path rules first, then association rules mined by Spark's FP-growth; native DataFrame operations only.
 
-A labelled URL is a transaction of its tokens (top domain, last two labels, first label of a longer host, first path part, path shape, query
-keys) and of the item `label=block` where its label says so. FP-growth finds the frequent item sets; a set of at most
-`MAX_TOKENS` tokens is a rule when, together with the label, it reaches the support and, relative to the set alone, the
+A labelled URL is a transaction of its tokens (host, top domain, last two labels, every label before the top one, first path part, path shape,
+extension, query keys) and of the item `label=block` where its label says so. FP-growth finds the frequent item sets, of any
+size; a set of tokens is a rule when, together with the label, it reaches the support and, relative to the set alone, the
 confidence. A rule that is no more confident than a rule over part of its tokens is pruned.
 
 Rules are matched by an inverted index (token -> rules): the distinct token sets of all pages are joined on tokens and a rule fires when
@@ -21,7 +21,7 @@ from palisade.llm.common import save, shared_dir
 
 #: Fixed values: (host, path, verdict). A rule fits its host and all subdomains when the path starts with the rule's; the longest wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-SUPPORT, CONFIDENCE, MAX_TOKENS = 0.005, 0.5, 3
+SUPPORT, CONFIDENCE = 0.005, 0.5
 LABEL = "label=block"
 
 
@@ -62,35 +62,49 @@ def url_tokens(host: Column, path: Column, query: Column) -> Column:
         F.array(
             F.concat(F.lit("top="), F.element_at(labels, -1)),
             F.concat(F.lit("domain="), F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), ".")),
-            F.concat(F.lit("sub="), F.when(n > 2, F.element_at(labels, 1)).otherwise(F.lit("-"))),
+            F.concat(F.lit("host="), host),
             F.concat(F.lit("first="), F.coalesce(F.get(parts, F.lit(0)), F.lit("-"))),
             F.concat(F.lit("shape="), shape),
+            F.concat(F.lit("ext="), F.coalesce(F.nullif(F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)), F.lit("")), F.lit("-"))),
         ),
+        F.transform(F.slice(labels, 1, n - 1), lambda x: F.concat(F.lit("label="), x)),
         keys,
     )
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(tokens)))
 
 
-def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """(tokens, n_tokens, hits, seen) from (tokens, blocked): rules `tokens -> block` that reach support and confidence."""
+def mine_sets(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """(tokens, n_tokens, confidence, is_rule) from (tokens, blocked): token sets that reach the support together with the label."""
     items = labelled.filter("size(tokens) > 0").select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(LABEL)))).otherwise(F.col("tokens")).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).freqItemsets
     sets = sets.withColumn("tokens", F.array_sort(F.array_remove("items", LABEL))).withColumn("labelled", F.array_contains("items", LABEL))
-    sets = sets.filter(F.size("tokens").between(1, max_tokens)).groupBy("tokens")
-    rules = sets.agg(F.max(F.when(F.col("labelled"), F.col("freq"))).alias("hits"), F.max(F.when(~F.col("labelled"), F.col("freq"))).alias("seen"))
-    return rules.filter(f"hits >= {confidence} * seen").withColumn("n_tokens", F.size("tokens"))
+    sets = sets.filter(F.size("tokens") > 0).groupBy("tokens")
+    both = sets.agg(F.max(F.when(F.col("labelled"), F.col("freq"))).alias("hits"), F.max(F.when(~F.col("labelled"), F.col("freq"))).alias("seen")).filter("hits is not null")
+    return both.select("tokens", F.size("tokens").alias("n_tokens"), (F.col("hits") / F.col("seen")).alias("confidence"), F.expr(f"hits >= {confidence} * seen").alias("is_rule"))
 
 
-def prune_rules(rules: DataFrame) -> DataFrame:
-    """Drops a rule when one over part of its tokens is at least as confident (compared as whole numbers)."""
-    parts = rules.select(F.col("tokens").alias("whole"), F.col("hits").alias("h"), F.col("seen").alias("s"), F.explode("tokens").alias("out"))
-    smaller = parts.select("whole", "h", "s", F.expr("filter(whole, x -> x <> out)").alias("part"))
-    pairs = smaller.select("whole", "h", "s", F.explode(F.concat(F.array("part"), F.transform("part", lambda x: F.array(x)))).alias("part"))
-    weaker = pairs.join(rules.select(F.col("tokens").alias("part"), F.col("hits").alias("ph"), F.col("seen").alias("ps")), "part").filter("h * ps <= ph * s")
-    return rules.join(weaker.select(F.col("whole").alias("tokens")).distinct(), "tokens", "left_anti")
+def prune_rules(sets: DataFrame, folder: str) -> DataFrame:
+    """(tokens, n_tokens) of the rules among `sets` that are more confident than every rule over part of their tokens.
 
-
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    Every part of a frequent set is frequent, so going up by size the best confidence below a set is that of the sets with one token less.
+    """
+    largest = sets.agg(F.max("n_tokens")).first()[0] or 0
+    below, kept = None, []
+    for n in range(1, largest + 1):
+        level = sets.filter(F.col("n_tokens") == n)
+        if below is None:
+            level = level.withColumn("under", F.lit(0.0))
+        else:
+            parts = level.select(F.col("tokens").alias("whole"), F.explode("tokens").alias("out")).select("whole", F.expr("filter(whole, x -> x <> out)").alias("tokens"))
+            best = parts.join(below.select("tokens", "best"), "tokens").groupBy("whole").agg(F.max("best").alias("under")).withColumnRenamed("whole", "tokens")
+            level = level.join(best, "tokens")
+        level = level.withColumn("best", F.greatest("under", F.when(F.col("is_rule"), F.col("confidence")).otherwise(0.0)))
+        below = save(level.select("tokens", "n_tokens", "best", (F.col("is_rule") & (F.col("confidence") > F.col("under"))).alias("keep")), folder, f"sets-{n}")
+        kept.append(below.filter("keep").select("tokens", "n_tokens"))
+    return reduce(DataFrame.unionByName, kept) if kept else sets.select("tokens", "n_tokens").limit(0)
+
+
+def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """One row per row of `pages` (page_id, url): host, path, rule, verdict, mined.
 
     verdict is the listed rule's, else block where a mined rule fires, else allow. `labels` (page_id, blocked): pages without a label, or with
@@ -102,7 +116,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, support: float
     judged = parts.withColumn("tokens", url_tokens(F.col("host"), F.col("path"), F.col("query")))
     known = labels.filter("page_id is not null and blocked is not null").groupBy("page_id").agg(F.max("blocked").alias("blocked"))
     labelled = save(judged.filter("page_id is not null").join(known, "page_id").select("tokens", "blocked"), folder, "labelled")
-    mined = save(prune_rules(save(mine_rules(labelled, support, confidence, max_tokens), folder, "rules")), folder, "pruned")
+    mined = prune_rules(save(mine_sets(labelled, support, confidence), folder, "sets"), folder)
     index = mined.select(F.array_join("tokens", " ").alias("mined"), "n_tokens", F.explode("tokens").alias("token"))
     urls = judged.select("tokens").filter("size(tokens) > 0").distinct()
     hits = urls.select("tokens", F.explode("tokens").alias("token")).join(index, "token").groupBy("tokens", "mined", "n_tokens").agg(F.count("*").alias("n"))

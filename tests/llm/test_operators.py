@@ -283,7 +283,7 @@ def test_contamination_by_template(spark):
     filler = prose(random.Random(1), 80)
     other = QUESTION.replace("120", "77").replace("45", "12").replace("Maria", "Helen").replace("3 km", "9 miles")
     mixed = QUESTION.replace("120 passengers and", "88 passengers and").replace("the station with", "the station of 120 with")
-    items = [(1, QUESTION), (2, "short one"), (3, None), (4, "alpha beta gamma delta epsilon"), (1, QUESTION)]
+    items = [(1, QUESTION), (2, "short two"), (3, None), (4, "alpha beta gamma delta epsilon"), (1, QUESTION)]
     docs = [(1, f"{filler}\n{QUESTION}. {filler}"), (2, f"{filler} {other}, {filler}"), (3, filler), (4, None), (5, ""), (6, "It said: Alpha beta, gamma delta epsilon! Ok"), (7, "short one"), (None, QUESTION), (1, f"{filler}\n{QUESTION}. {filler}"), (8, QUESTION.upper())]
     frame = documents(spark, docs)
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -314,6 +314,20 @@ def test_slot_heavy_items_merged_values_and_line_starts(spark):
         assert {(1, 1), (7, 2), (3, 3), (5, 4)} <= {(r.doc_id, r.item_id) for r in got.collect()} <= {(1, 1), (2, 2), (7, 2), (3, 3), (5, 4)}
 
 
+def test_short_items_split_slots_and_mixed_windows(spark):
+    items = [(1, "Who wrote Faust"), (2, "Yes"), (3, "How far does Maria walk from the station of the town when she walks 3 km a day for two weeks?"), (4, "Name:\nPeter"),
+             (5, "Order the list 9 4 7 1 3 8 2 6 5 11 12 13 14 15 16 17 from small to large and say which is the third of them all")]
+    docs = [
+        (1, "Quiz\nwho wrote Faust?\nGoethe"), (2, "I know who wrote Faust and when"), (3, "yes."), (4, "yes and no"),
+        (5, "Then: How far does Anna Lena Schmidt walk from the station of the town when she walks 12km a day for two weeks? Tell."),
+        (6, "How far does Maria walk from the station of the city when he runs 3 km a day for two weeks?"), (7, "name: peter"), (8, "Name\nPeter"),
+        (9, "say 9 4 7 1 3 8 2 6 5 11 12 13 14 15 16 17 now"), (10, "say 9 4 7 1 3 8 2 6 5 11 12 19 14 15 16 17 now"),
+    ]
+    for sent in (2_000_000, 1):
+        got = decontaminate.contaminated(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"), sent_hashes=sent)
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (3, 2), (5, 3), (7, 4), (9, 5)}
+
+
 # 6: personal data
 
 
