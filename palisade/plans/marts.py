@@ -277,13 +277,16 @@ def append_run_history(spark, folder):
 # ---- stitching ----------------------------------------------------------------------------------------------------
 
 
-@query(
-    "tainted_context",
+cte(
+    "q_tainted",
     """SELECT f.user_id, f.event_id, f.ts_ms, f.what, arg_max(l.event_id, (l.ts_ms, l.event_id)) AS lure_id, arg_max(l.host, (l.ts_ms, l.event_id)) AS lure_host,
   arg_max(l.scenario, (l.ts_ms, l.event_id)) AS scenario, f.ts_ms - max(l.ts_ms) AS age_ms
 FROM q_lures f JOIN q_lures l ON l.user_id = f.user_id AND l.what = 'lure' AND l.ts_ms - 60000 <= f.ts_ms
 WHERE f.what <> 'lure' GROUP BY f.user_id, f.event_id, f.ts_ms, f.what HAVING f.ts_ms - max(l.ts_ms) <= 900000""",
 )
+
+
+@query("tainted_context", "SELECT * FROM q_tainted")
 def tainted_context(spark, folder):
     return X.tainted_context(S.lures(spark, folder))
 

@@ -11,7 +11,7 @@ from palisade.plans.corpus_text import message_urls
 from palisade.plans.registry import query
 from palisade.sources import forms as FS
 from palisade.sources.planted import messages, watchlist
-from palisade.sources.tables import stored
+from palisade.sources.tables import stored, table
 
 # What a reader of the templates finds: (k, field number, kind of field, hiding technique).
 TRUTH = [
@@ -52,12 +52,19 @@ def classified(source: str) -> str:
   FROM (SELECT DISTINCT host FROM {source}) LEFT JOIN q_domains ON host = domain OR ends_with(host, '.' || domain) GROUP BY host)"""
 
 
-FORMS: dict[tuple[str, str], DataFrame] = {}
+FORMS: dict[tuple, DataFrame] = {}
+
+
+def version(spark, path: str) -> tuple:
+    """The files of a table with their times and sizes."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    return tuple(sorted((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in found))
 
 
 def forms(spark, folder) -> DataFrame:
-    """The narrow table of forms. A page is parsed once per application and folder; all detectors read the stored table."""
-    key = (spark.sparkContext.applicationId, folder)
+    """The narrow table of forms. A page is parsed once per application as long as the files of the table are the same; all detectors read the stored table."""
+    key = (spark.sparkContext.applicationId, version(spark, f"{folder}/pages.parquet"))
     if key not in FORMS:
         FORMS[key] = stored(FS.extract_forms(FS.planted_pages(spark, folder)))
     return FORMS[key]
@@ -242,18 +249,26 @@ def risk_score(spark, folder):
     return r.select("event_id", s.alias("score"), P.risk_level(s).alias("level"))
 
 
-# Pages opened under a live lure: a fixed share of the pages by number.
+VISITED = 250  # planted: a visit opens the pages whose number leaves the same rest as that of its event
+
+
 def tainted_pages(spark, folder):
-    return FS.planted_pages(spark, folder).filter(F.col("page_id") % 3 == 1).select("page_id")
+    """Pages that a user opened under a live lure of theirs: visits meet `tainted_context` by user and time."""
+    from palisade.operators.stitching import tainted_context
+    from palisade.sources.scored import lures
+
+    opened = tainted_context(lures(spark, folder)).select((F.col("event_id") % VISITED).alias("_opened")).distinct()
+    pages = table(spark, folder, "pages").select("page_id")
+    return pages.join(opened, F.col("page_id") % VISITED == F.col("_opened"), "left_semi")
 
 
 cte(
     "q_form_triggers",
-    """SELECT page_id, form_no, 'form_action_mismatch' AS trigger, mismatch_score AS contribution FROM q_mismatch WHERE mismatch_triggered
+    f"""SELECT page_id, form_no, 'form_action_mismatch' AS trigger, mismatch_score AS contribution FROM q_mismatch WHERE mismatch_triggered
 UNION ALL SELECT page_id, form_no, 'hidden_sensitive_inputs', 60 FROM q_traps UNION ALL SELECT page_id, form_no, 'card_number', 40 FROM q_fill WHERE filled_card
 UNION ALL SELECT page_id, form_no, 'cvv_code', 40 FROM q_fill WHERE filled_cvv UNION ALL SELECT page_id, form_no, 'urgency', 20 FROM q_urgency WHERE score > 0
 UNION ALL SELECT page_id, form_no, 'watchlist_exposure', score FROM q_wl_triggers
-UNION ALL SELECT page_id, form_no, 'active_context', 35 FROM q_forms JOIN q_form_hosts ON host = page_host WHERE page_id % 3 = 1 AND NOT is_whitelist AND NOT is_user_allowed""",
+UNION ALL SELECT page_id, form_no, 'active_context', 35 FROM q_forms JOIN q_form_hosts ON host = page_host WHERE page_id % {VISITED} IN (SELECT event_id % {VISITED} FROM q_tainted) AND NOT is_whitelist AND NOT is_user_allowed""",
 )
 cte(
     "q_risk",
