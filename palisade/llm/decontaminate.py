@@ -74,16 +74,19 @@ class Words(dict):
 
 @dataclass
 class Tokens:
-    """A text as template tokens: hash, whether a slot, hash of the plain words, first word of each; all words; hashes of whole short lines and their first words."""
+    """A text as template tokens: hash, whether a slot, first word of each; all words and their hashes; hashes of whole short lines and their first words."""
 
     hashes: np.ndarray
     slot: np.ndarray
-    plain: np.ndarray
     first: np.ndarray
     words: list[bytes]
+    plain: np.ndarray
     lines: np.ndarray
     line_at: np.ndarray
 
+    def plain_tokens(self) -> np.ndarray:
+        return self.plain if len(self.first) == len(self.words) else _joined(self.plain, self.first)
+
     def value(self, token: int) -> str:
         end = self.first[token + 1] if token + 1 < len(self.first) else len(self.words)
         return " ".join(w.strip(_EDGE).lower().decode("utf-8", "replace") for w in self.words[self.first[token] : end])
@@ -99,15 +102,15 @@ def _joined(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.add.reduceat(hashes * powers[place], starts)
 
 
-def template(text: str | None, table: Words) -> Tokens:
-    """Tokens of a text. First words of lines start a sentence as words after a stop do."""
+def template(text: str | None, table: Words, with_lines: bool = True) -> Tokens:
+    """Tokens of a text. First words of lines start a sentence as words after a stop do. Short lines only where they are asked for."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
     if not words:
         none, no_hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return Tokens(no_hash, np.zeros(0, bool), no_hash, none, words, no_hash, none)
-    breaks = np.unique(np.cumsum([0, *(len(line.split()) for line in data.split(b"\n"))]))
-    lines = breaks[breaks < len(words)]
+        return Tokens(no_hash, np.zeros(0, bool), none, words, no_hash, no_hash, none)
+    lines = np.cumsum([0, *(len(line.split()) for line in data.split(b"\n"))])
+    lines = lines[lines < len(words)]
     hashes, flags = table.look_up(words)
     number = flags & 1 > 0
     start = np.ones(len(words), bool)
@@ -118,16 +121,17 @@ def template(text: str | None, table: Words) -> Tokens:
     unit[:1] = False
     unit &= ~number
     name = (flags & 4 > 0) & ~start & ~number & ~unit
-    again = np.zeros(len(words), bool)
-    again[1:] = name[1:] & name[:-1]
-    first = np.flatnonzero(~(unit | again))
+    unit[1:] |= name[1:] & name[:-1]  # part of the slot before
+    first = np.flatnonzero(~unit)
     kind = np.where(number, _NUM, np.where(name, _NAME, _LITERAL))[first]
-    plain = _joined(hashes, first)
-    ends = np.append(lines[1:], len(words))
-    tokens_in = np.searchsorted(first, ends) - np.searchsorted(first, lines)
-    short = tokens_in < MIN_WORDS
-    whole = _joined(hashes, lines) ^ (ends - lines).astype(np.uint64) ^ _LINE
-    return Tokens(np.where(kind == _LITERAL, hashes[first], _HASHES[kind]), kind != _LITERAL, plain, first, words, whole[short], lines[short])
+    tokens = Tokens(np.where(kind == _LITERAL, hashes[first], _HASHES[kind]), kind != _LITERAL, first, words, hashes, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    if with_lines:
+        lines = np.unique(lines)
+        ends = np.append(lines[1:], len(words))
+        short = np.searchsorted(first, ends) - np.searchsorted(first, lines) < MIN_WORDS
+        whole = _joined(hashes, lines) ^ (ends - lines).astype(np.uint64) ^ _LINE
+        tokens.lines, tokens.line_at = whole[short], lines[short]
+    return tokens
 
 
 _EXACT = np.uint64(0x5EED_0F_E4AC7)  # tells windows of plain words from those of template words
@@ -145,7 +149,7 @@ def text_windows(tokens: Tokens, sizes: list[int]) -> tuple[np.ndarray, np.ndarr
             heavy = (slots[size:] - slots[:-size]) * 2 > size
             both = windows(tokens.hashes, size) ^ np.uint64(size)
             if heavy.any():
-                both = np.where(heavy, windows(tokens.plain, size) ^ np.uint64(size) ^ _EXACT, both)
+                both = np.where(heavy, windows(tokens.plain_tokens(), size) ^ np.uint64(size) ^ _EXACT, both)
             found.append((both, np.arange(len(both)), np.full(len(both), size), heavy))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -172,23 +176,24 @@ class Wanted:
 
 
 def _emit(sizes: list[int], wanted: np.ndarray | None, own_size: bool):
-    """Map over batches (id, text) -> windows; a short line is a window of size 0. own_size: an item has windows of one size, or is a line."""
+    """Map over batches (id, text) -> windows; a short line is a window of size 0, given if that is among the sizes. own_size: an item has windows of
+    one size, or is a line."""
 
     def run(batches):
         table, filtered = Words(), None if wanted is None else Wanted(wanted)
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = template(text.as_py(), table)
+                tokens = template(text.as_py(), table, 0 in sizes)
                 n = len(tokens.first)
-                mine = sizes if not own_size else [min(n, WINDOW)] if n >= MIN_WORDS else []
+                mine = [s for s in sizes if s] if not own_size else [min(n, WINDOW)] if n >= MIN_WORDS else []
                 found, starts, lengths, exact = text_windows(tokens, mine)
                 for i in np.arange(len(found)) if filtered is None else filtered.hits(found):
                     lo, size = int(starts[i]), int(lengths[i])
                     values = [] if exact[i] else [tokens.value(j) for j in range(lo, lo + size) if tokens.slot[j]]
                     rows.append((key, int(found[i].view(np.int64)), lo, int(tokens.first[lo]), size, bool(exact[i]), values))
-                if not own_size or n < MIN_WORDS:
-                    lines = tokens.lines if not own_size else _joined_lines(tokens, table)
+                if 0 in sizes or (own_size and n < MIN_WORDS):
+                    lines = tokens.lines if not own_size else _joined_lines(tokens)
                     places = tokens.line_at if not own_size else np.zeros(len(lines), np.int64)
                     for i in np.arange(len(lines)) if filtered is None else filtered.hits(lines):
                         rows.append((key, int(lines[i].view(np.int64)), int(places[i]), int(places[i]), 0, True, []))
@@ -201,12 +206,11 @@ def _emit(sizes: list[int], wanted: np.ndarray | None, own_size: bool):
 _SCHEMA = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("word", pa.int32()), ("size", pa.int32()), ("exact", pa.bool_()), ("slots", pa.list_(pa.string()))])
 
 
-def _joined_lines(tokens: Tokens, table: Words) -> np.ndarray:
+def _joined_lines(tokens: Tokens) -> np.ndarray:
     """The hash that a document's line has when it is the whole item, whatever line breaks the item has."""
     if not tokens.words:
         return np.zeros(0, np.uint64)
-    hashes, _ = table.look_up(tokens.words)
-    return _joined(hashes, np.zeros(1, np.int64)) ^ np.uint64(len(tokens.words)) ^ _LINE
+    return _joined(tokens.plain, np.zeros(1, np.int64)) ^ np.uint64(len(tokens.words)) ^ _LINE
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, run: int = RUN, sent_hashes: int = SENT_HASHES) -> DataFrame:
@@ -221,7 +225,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, ru
     items = save(benchmark.mapInArrow(_emit([], None, True), _WINDOWS).distinct(), folder, "items")
     kinds = items.select("hash").distinct().limit(sent_hashes + 1).toArrow().column("hash").to_numpy()
     wanted = np.sort(kinds.view(np.uint64)) if len(kinds) <= sent_hashes else None  # 16 MB at most
-    sizes = [r[0] for r in items.filter("size > 0").select("size").distinct().orderBy("size").collect()]  # at most WINDOW numbers
+    sizes = [r[0] for r in items.select("size").distinct().orderBy("size").collect()]  # at most WINDOW + 1 numbers
     found = docs.mapInArrow(_emit(sizes, wanted, False), _WINDOWS).distinct()
     per_item = items.groupBy("id").agg(F.count("*").alias("item_windows"), F.count_if(~F.col("exact")).alias("item_template")).withColumnRenamed("id", "item_id")
     item = items.select(F.col("id").alias("item_id"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
