@@ -29,6 +29,7 @@ from palisade.llm.common import WordHashes, components, offsets, save, shared_di
 
 SHINGLE, PERCENT, FRAGMENTS = 5, 80, 16
 CHUNK = 1_500_000  # n-grams a map task packs at a time
+BLOCK = 1000  # documents of a posting list that are compared with as many others in one task
 
 
 def shingle_set(text: str | None, words: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -168,6 +169,15 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of posting lists with themselves: a list of more than BLOCK documents is cut into blocks, and every pair of blocks (low, high) is a key
+    of its own, so no task compares a whole list."""
+    blocks = postings.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = postings.join(blocks, "gram").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keep = [c for c in postings.columns if c != "gram"]
+    return own.select("gram", F.col("own").alias("low"), F.col("with").alias("high"), *keep), own.select("gram", F.col("with").alias("low"), F.col("own").alias("high"), *keep)
+
+
 def jaccard_links(docs: DataFrame, folder: str, size: int = SHINGLE, percent: int = PERCENT, fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(stats, members, links): per doc_id its set size; documents that may link with the smallest doc_id of an equal set; links (a, b) between such nodes.
 
@@ -204,9 +214,10 @@ def jaccard_links(docs: DataFrame, folder: str, size: int = SHINGLE, percent: in
     known = postings.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = known.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc").alias("hub")).filter("low < high").select("gram", "hub")
     rest = known.join(mixed, "gram").filter("doc <> hub").join(counts, "doc").select("gram", "doc", "n", "component", *[f"f{i}" for i in range(fragments)])
-    other = rest.select("gram", *[F.col(c).alias(f"o_{c}") for c in rest.columns if c != "gram"])
+    left, right = _dealt(rest)
+    other = right.select("gram", "low", "high", *[F.col(c).alias(f"o_{c}") for c in rest.columns if c != "gram"])
     reach = " + ".join(f"least(f{i}, o_f{i})" for i in range(fragments))
-    pairs = rest.join(other, [rest.gram == other.gram, F.expr(f"doc < o_doc and component <> o_component and 100 * least(n, o_n) >= {percent} * greatest(n, o_n) and {100 + percent} * ({reach}) >= {percent} * (n + o_n)")])
+    pairs = left.join(other, ["gram", "low", "high"]).filter(F.expr(f"doc < o_doc and component <> o_component and 100 * least(n, o_n) >= {percent} * greatest(n, o_n) and {100 + percent} * ({reach}) >= {percent} * (n + o_n)"))
     pairs = pairs.select(F.col("doc").alias("a"), F.col("o_doc").alias("b")).distinct()
     more = save(_overlaps(pairs, segments).filter(enough).select("a", "b"), folder, "links-rest")
     return stats, members, links.unionByName(more)

@@ -61,7 +61,9 @@ def brute_components(rows):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
-def test_ngram_join_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [2, 1000])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = corpus()
     got = ngram_join.jaccard_components(documents(spark, [*rows, rows[5], (None, "null id")])).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
