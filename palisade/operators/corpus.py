@@ -24,6 +24,16 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("schemaVersion", F.explode("cases").alias("c")).select("schemaVersion", "c.*")
 
 
+CASES_PER_FILE = 200
+
+
+def write_corpus(cases: DataFrame, path: str) -> None:
+    """JSON files of the corpus at `path`, about CASES_PER_FILE cases (value, as JSON) in each."""
+    files = max(1, -(-cases.count() // CASES_PER_FILE))
+    listed = cases.groupBy(F.pmod(F.xxhash64("value"), F.lit(files)).alias("file")).agg(F.array_join(F.sort_array(F.collect_list("value")), ",").alias("cases"))
+    listed.select(F.concat(F.lit('{"schemaVersion":1,"cases":['), "cases", F.lit("]}")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def flatten_cases(cases: DataFrame) -> DataFrame:
     """One row per message of a case, with the case's expectation beside it; turn is the stated one, else the place in the list."""
     return cases.select("id", "expected", "assessment", F.posexplode("messages").alias("pos", "m")).select(

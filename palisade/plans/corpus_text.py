@@ -1,5 +1,7 @@
 """Queries over loading, corpora and text normalisation."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palisade.functions import text as T
@@ -8,6 +10,7 @@ from palisade.oracle import planted as _p  # noqa: F401
 from palisade.oracle import text as O
 from palisade.oracle.sql import cte
 from palisade.plans.registry import query
+from palisade.session import shared_folder
 from palisade.sources.planted import messages, watchlist
 from palisade.sources.tables import table
 
@@ -17,20 +20,28 @@ def load_messages(spark, folder):
     return messages(spark, folder).select("conv_id", "turn", "ts_ms", "direction", "text")
 
 
-@query(
-    "flatten_corpus",
-    """
+_FLAT = """
 WITH e AS (SELECT conv_id, max(CASE WHEN direction = 'inbound' THEN truth_type END) AS t,
         max(truth_assessment) AS assessment FROM q_messages GROUP BY ALL)
 SELECT 'case-' || conv_id AS case_id, turn, direction, text,
   t IS NOT NULL AS expected_detected, t AS expected_type, CASE WHEN t IS NULL THEN 'ALLOW' ELSE 'WARN' END AS expected_action,
   assessment
-FROM q_messages JOIN e USING (conv_id)""",
-)
+FROM q_messages JOIN e USING (conv_id)"""
+
+
+@query("flatten_corpus", _FLAT)
 def flatten_corpus(spark, folder):
     return C.flatten_cases(C.parse_cases(C.cases_as_json(messages(spark, folder))))
 
 
+@query("flatten_corpus_files", _FLAT)
+def flatten_corpus_files(spark, folder):
+    """The same through JSON files: the corpus is written to the shared folder and read as files."""
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    C.write_corpus(C.cases_as_json(messages(spark, folder)), path)
+    return C.flatten_cases(C.read_corpus(spark, path))
+
+
 CASES = """
 SELECT CASE conv_id % 3 WHEN 0 THEN 'development' WHEN 1 THEN 'regressions' ELSE 'holdout' END AS corpus,
   CASE WHEN conv_id % 29 = 5 THEN ' ' WHEN conv_id % 17 = 3 THEN 'c' || (conv_id - 1) ELSE 'c' || conv_id END AS case_id,
