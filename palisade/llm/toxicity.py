@@ -127,15 +127,18 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
-    """(text, label): at most `per_class` labelled documents of each class, by a hash of the id. The first pick per slice needs no shuffle of texts."""
+    """(text, label): at most `per_class` labelled documents of each class, by a hash of the id. The first pick per slice needs no shuffle of texts.
+
+    An id with several texts teaches its smallest one.
+    """
     known = labels.filter("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
     slices = known.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
     local = slices.withColumn("r", F.row_number().over(Window.partitionBy("label", "slice").orderBy(*order))).filter(F.col("r") <= per_class)
     chosen = local.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(*order))).filter(F.col("r") <= per_class).select("doc_id", "label")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class rows of two numbers
-    return found.orderBy("doc_id", "text").select("text", "label").limit(4 * per_class)
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # at most 2 * per_class rows of two numbers
+    return found.orderBy("doc_id").select("text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:

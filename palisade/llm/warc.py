@@ -6,7 +6,7 @@ blank line that ends a record, and no file holds more than `PER_FILE` records. F
 
 Reading: archives are read as whole files (bounded by `PER_FILE` records) and cut by Content-Length, so payloads may hold anything.
 
-Index: every archive gives one capture run sorted by (URL key, timestamp, page). Runs are cut at the same global key bounds; for each
+Index: every archive gives one capture run sorted by (URL key, timestamp, page). Runs are cut at the bounds of one range partitioning; for each
 range the pieces of all runs are merged by a loser tree into one ordered stretch, and the ranges in turn are the global order.
 A URL key with very many captures spans several ranges, as bounds are taken over the whole order (key, timestamp, page).
 """
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 
@@ -173,22 +172,16 @@ def _merge(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.array(range(lo, lo + len(ids)), pa.int64())], names=["page_id", "merge_range", "merge_place"])
 
 
-def merged_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(page_id, capture_no): place from 0 of each capture (page_id, archive, url_key, captured) in the order by URL key, time and page."""
-    place = F.struct("url_key", "captured", "page_id")
-    rows = captures.filter("page_id is not null").select("archive", place.alias("c"))
-    total = rows.count()
-    pieces = max(1, -(-total // range_rows))
-    bounds: list = []
-    if pieces > 1:  # cut points from a bounded sample (100 per range): they balance the ranges, the order is exact whatever they are
-        picked = rows.select("c").sample(min(1.0, 100 * pieces / total), seed=7).orderBy("c").select("c.*").toArrow().to_pylist()
-        bounds = [tuple(picked[i * len(picked) // pieces].values()) for i in range(1, pieces) if picked]
-    if not bounds:
-        ranged = rows.withColumn("part", F.lit(0))
-    else:
-        cut = F.lit(json.dumps([{"url_key": u, "captured": t, "page_id": p} for u, t, p in sorted(set(bounds))]))
-        cuts = F.from_json(cut, "array<struct<url_key:string,captured:string,page_id:bigint>>")
-        ranged = rows.withColumn("part", F.size(F.filter(cuts, lambda b: b <= F.col("c"))))
+def merged_index(captures: DataFrame, folder: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(page_id, capture_no): place from 0 of each capture (page_id, archive, url_key, captured) in the order by URL key, time and page.
+
+    The ranges are those of Spark's range partitioning, stored with their numbers: neither a sample nor bounds come to the driver.
+    """
+    place = ["url_key", "captured", "page_id"]
+    rows = captures.filter("page_id is not null").select("archive", *place)
+    pieces = max(1, -(-rows.count() // range_rows))
+    ranged = rows.repartitionByRange(pieces, *place).withColumn("part", F.spark_partition_id())
+    ranged = save(ranged, folder, "ranges").select("part", "archive", F.struct(*place).alias("c"))
     runs = ranged.groupBy("part", "archive").agg(F.array_sort(F.collect_list("c")).alias("run"))  # a run is sorted piece by piece
     merged = runs.groupBy("part").agg(F.collect_list("run").alias("runs")).mapInArrow(_merge, _MERGED)
     counts = ranged.groupBy(F.col("part").alias("merge_range")).agg(F.count("*").alias("n"))  # one row per range
@@ -204,9 +197,9 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     """
     folder = shared_dir(pages.sparkSession)
     read = save(read_archives(pages.sparkSession, write_archives(pages, folder)), folder, "records")
-    sizes = read.filter("record_type = 'response' and page_id is not null").groupBy("page_id").agg(F.max("payload_bytes").alias("full_bytes"))
-    place = merged_index(read).groupBy("page_id").agg(F.min("capture_no").alias("capture_no"))
-    out = read.join(sizes.withColumnRenamed("page_id", "refers_to"), "refers_to", "left").join(place, "page_id", "left")
+    sizes = read.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("full_bytes"))
+    place = merged_index(read, folder).groupBy("page_id").agg(F.min("capture_no").alias("capture_no"))
+    out = read.join(sizes, ["refers_to", "payload_digest"], "left").join(place, "page_id", "left")
     return out.select(
         "page_id", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to",
         "url_key", "captured", "capture_no",

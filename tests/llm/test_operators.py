@@ -445,7 +445,7 @@ def test_loser_tree_and_ranges(spark):
         runs = [sorted(rng.randint(0, 30) for _ in range(rng.randint(0, 20))) for _ in range(k)]
         assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
     rows = [(i, f"archive{i % 7}", f"key{rng.randint(0, 40)}" if i % 3 else "hot", f"t{rng.randint(0, 5)}") for i in range(900)]
-    got = warc.merged_index(spark.createDataFrame(rows, "page_id long, archive string, url_key string, captured string"), range_rows=100).collect()
+    got = warc.merged_index(spark.createDataFrame(rows, "page_id long, archive string, url_key string, captured string"), warc.shared_dir(spark), range_rows=100).collect()
     want = [r[0] for r in sorted(rows, key=lambda r: (r[2], r[3], r[0]))]
     assert [r.page_id for r in sorted(got, key=lambda r: r.capture_no)] == want and len({r.capture_no for r in got}) == 900
 
