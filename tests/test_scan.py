@@ -1,7 +1,8 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palisade.operators.dataset import duplicate_groups, near_duplicate_pairs
+from palisade.operators.dataset import duplicate_groups
+from palisade.operators.near_copies import near_duplicate_pairs
 from palisade.operators.scan import running, turn_bucket
 from palisade.operators.sessions import with_context
 from palisade.operators.watchlist import fuzzy_hits, hmac_sha256, osa_distance
