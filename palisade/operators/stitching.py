@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palisade.operators.scan import hour_bucket, running, top_per_key, union_all
+from palisade.operators.scan import hour_bucket, running
 from palisade.sources.tables import stored
 
 TTL_MS = 900_000

@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 from palisade.operators import corpus as C
 from palisade.operators import marts as M
 from palisade.operators import stitching as X
-from palisade.operators.scan import top_per_key
 from palisade.oracle import scored as _o  # noqa: F401
 from palisade.oracle.sql import cte, lit
 from palisade.plans.registry import query
 from palisade.plans.sessions import single_verdicts
 from palisade.session import shared_folder
 from palisade.sources import scored as S
-from palisade.sources.planted import messages
 
 _PRF = """round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
   round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1"""

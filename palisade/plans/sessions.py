@@ -1,6 +1,5 @@
 """Queries over conversation state and rule verdicts."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisade.dims import semantics as D

@@ -14,6 +14,7 @@ from palisade.plans.corpus_text import normalized
 from palisade.plans.evidence import keyword_table
 from palisade.plans.registry import query
 from palisade.sources.planted import sent_ms, watchlist
+from palisade.sources.tables import stored
 from palisade.streaming import streams as X
 
 
@@ -80,7 +81,8 @@ def stream_cross_leaks(spark, folder):
     )
     items = watchlist(spark, folder).filter("enabled")
     keyed = sent().select(F.struct("conv_id", "turn", "ts_ms", "ts").alias("doc"), "text")
-    hits = Wl.text_tokens(keyed, "doc", items).join(Wl.item_tokens(items), "token").select("doc.*", F.col("item_id").cast("long").alias("item_id"))
+    variants = stored(Wl.item_variants(items))
+    hits = Wl.text_tokens(keyed, "doc", variants).join(Wl.tokens_of(variants), "token").select("doc.*", F.col("item_id").cast("long").alias("item_id"))
     marks = hits.select("conv_id", "turn", "ts_ms", "ts", *[none(f.dataType).alias(f.name) for f in m.schema.fields[4:-1]], "item_id")
     state = X.drain(X.with_stream_memory(m.unionByName(marks)))
     return state.join(A.leak_scores(A.leak_triggers(state)), ["conv_id", "turn"])
