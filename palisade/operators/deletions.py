@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from palisade.operators.bits import BitTable
-from palisade.operators.spellings import ATOMS, HELD, POWERS, at_once, code_points, fold, running_hash, to_cyrillic
+from palisade.operators.spellings import ATOMS, CLASSES, HELD, POWERS, at_once, code_points, fold, letter_classes, pieces, running_hash, strings_of, to_cyrillic
 
 HEAD = 7
 BITS = 256  # of the tables of heads and tails for each key, since a word has many keys and passes by any of them
@@ -55,10 +55,6 @@ def left_out(points: np.ndarray, limit: int) -> np.ndarray:
     return keys ^ (keys >> np.uint64(31))
 
 
-def strings_of(column: pa.Array) -> list[str | None]:
-    return column.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes ten times as long
-
-
 def by_length(strings: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, rows, their letters) of a bounded number of strings each; empty strings are passed over."""
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
@@ -97,13 +93,6 @@ def end_keys(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(left_out(points, limit).ravel().view(np.int64))], names=["h"])
 
 
-CLASSES = 64  # of letters
-
-
-def letter_classes(points: np.ndarray) -> np.ndarray:
-    return ((points.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.int32)
-
-
 def opening_codes(columns: list[np.ndarray]) -> Iterator[np.ndarray]:
     """With the letters left out that `limits_of` its length allows, a string has three letters at least and begins with three of its first five: the codes
     of all such three, from the classes of its letters by position."""
@@ -250,21 +239,6 @@ class Nearby:
         return found
 
 
-LETTERS = 1 << 20  # of texts that are tested at once
-
-
-def pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts with about LETTERS letters in all, one text at least."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
-        if total >= LETTERS:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def nearby(*of):
     """Map over batches (key, text in lower case) -> (key, word): the distinct words and runs of a text that pass; `of` as in `Nearby`."""
 
