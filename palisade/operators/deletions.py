@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from palisade.operators.bits import BitTable
-from palisade.operators.spellings import ATOMS, CLASSES, HELD, POWERS, at_once, code_points, fold, letter_classes, pieces, running_hash, strings_of, to_cyrillic
+from palisade.operators.spellings import ATOMS, CLASSES, HELD, POWERS, at_once, code_points, fold, letter_classes, pieces, strings_of, to_cyrillic, whole_hashes
 
 HEAD = 7
 BITS = 256  # of the tables of heads and tails for each key, since a word has many keys and passes by any of them
@@ -109,23 +109,6 @@ def openings(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(codes)], names=["code"])
 
 
-def whole_hashes(strings: list[str]) -> np.ndarray:
-    """64-bit hashes of the strings, read from running sums over all of them."""
-    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    ends = np.cumsum(lengths)
-    sums = running_hash(code_points("".join(strings)))
-    down = POWERS.upto(len(sums))[1]
-    out = ((sums[ends] - sums[ends - lengths]) * down[ends - lengths]) ^ lengths.astype(np.uint64)
-    out = (out ^ (out >> np.uint64(31))) * _P
-    return out ^ (out >> np.uint64(29))
-
-
-def hashed(batches):
-    """Map over batches of strings -> their hashes."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(whole_hashes(strings_of(batch.column(0))).view(np.int64))], names=["h"])
-
-
 class Nearby:
     """Which words and runs of words of a text may be near a value, or fold to one; never False for one that is.
 
